@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, licenses, quality_rules, sharding, token_files
+from . import bpe_trie, decontamination, licenses, near_dedup, quality_rules, sharding, suffix_dedup, token_files
 from .common import table
 
 #: The id that ends each document in token files.
@@ -26,6 +26,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -
     return token_files.read_segments(spark, written)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -46,6 +58,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
     return {
         "op1_token_files": op1_token_files,
+        "op3_suffix_dedup": op3_suffix_dedup,
+        "op5_decontamination": op5_decontamination,
+        "op6_near_dedup": op6_near_dedup,
         "op7_sharding": op7_sharding,
         "op8_bpe_trie": op8_bpe_trie,
         "op9_licenses": op9_licenses,
