@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from .common import chunks, map_arrow, texts
 
 #: Words that a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 #: Characters on whose classes every regular expression engine agrees.
 PLAIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\u024f]")
@@ -44,7 +44,13 @@ class TrieEncoder:
         self.vocab, self.suffix = vocab, suffix
         self.text = {i: t for t, i in vocab.items()}
         self.rank = {pair: i for i, pair in enumerate(merges)}
-        self.longest = max((len(t.removesuffix(suffix) if suffix else t) for t in vocab), default=1)
+        # how long a token can be that ends in given three symbols, with and without the word end
+        self.reach: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        for token in vocab:
+            closing = bool(suffix) and token.endswith(suffix) and token != suffix
+            body = token[: -len(suffix)] if closing else token
+            reach = self.reach[closing]
+            reach[body[-3:]] = max(len(body), reach.get(body[-3:], 0))
         self.together: dict[tuple[str, str], bool] = {}
 
     def symbols(self, token: str) -> list[str]:
@@ -78,7 +84,8 @@ class TrieEncoder:
         ``states[i]`` is the last token of the encoding of the path's first i symbols.
         """
         out: dict[str, list[int]] = {}
-        vocab, suffix, longest, together, stays = self.vocab, self.suffix, self.longest, self.together, self.stays
+        vocab, suffix, together, stays = self.vocab, self.suffix, self.together, self.stays
+        inside, ending = self.reach
         path, states = "", [""]
         for word in sorted(set(words)):
             size = len(word)
@@ -88,8 +95,11 @@ class TrieEncoder:
                 shared += 1
             del states[shared + 1 :]
             for end in range(shared + 1, size + 1 if suffix else inner + 1):
-                closing = suffix if end > inner else ""
-                for start in range(end - longest if end > longest else 0, end):
+                if end > inner:
+                    closing, reach = suffix, ending.get(word[end - 3 if end > 3 else 0 : end], 2)
+                else:
+                    closing, reach = "", inside.get(word[end - 3 if end > 3 else 0 : end], 2)
+                for start in range(end - reach if end > reach else 0, end):
                     token = word[start:end] + closing
                     if token in vocab:
                         if start == 0:
@@ -137,14 +147,16 @@ class WordCodec:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.trie = TrieEncoder(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        # the same rules for lower-case ASCII, in an engine that is faster there
+        rules = self.pattern.pattern.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]")
+        self.plain = re.compile(rules.replace(r"\p{L}\p{N}", "a-z0-9"), re.ASCII)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.names = {**self.trie.text, **{i: t for t, i in self.special.items()}}
         self.packed = {i: i.to_bytes(4, "little") for i in self.names}
         self.alphabet = byte_alphabet()
         self.cache = cache
-        self.ids: dict[str, bytes] = {}
-        self.tokens: dict[str, str] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}  # ids and tokens of a word
 
     def words(self, text: str) -> list[str]:
         """Words by the tokenizer's own rules; a special token stays one with a NUL before it."""
@@ -152,7 +164,7 @@ class WordCodec:
             parts = self.at_special.split(text)
             return [w for x in parts for w in (["\0" + x] if x in self.special else self.words(x))]
         if text.isascii():
-            return self.pattern.findall(text.lower())
+            return self.plain.findall(text.lower())
         clean = self.library.normalizer.normalize_str(text)
         if PLAIN.search(clean) is None:
             return self.pattern.findall(clean)
@@ -162,9 +174,9 @@ class WordCodec:
 
     def learn(self, words: set[str]) -> None:
         """Puts ids and tokens of unknown words into the cache."""
-        new = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(new) > self.cache:
-            self.ids, self.tokens, new = {}, {}, list(words)
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > self.cache:
+            self.known, new = {}, list(words)
         alphabet = self.alphabet
         as_bytes = {
             w: w if w.isascii() and w.isprintable() else "".join([alphabet[b] for b in w.encode("utf-8")])
@@ -174,8 +186,7 @@ class WordCodec:
         found = self.trie.encode_words(as_bytes.values())
         for w in new:
             own = found[as_bytes[w]] if w in as_bytes else [self.special[w[1:]]]
-            self.ids[w] = b"".join([self.packed[i] for i in own])
-            self.tokens[w] = " ".join([self.names[i] for i in own])
+            self.known[w] = (b"".join([self.packed[i] for i in own]), " ".join([self.names[i] for i in own]))
 
     def encode(self, batch: list[str]) -> list[tuple[int, bytes, str]]:
         """(token count, ids as little-endian unsigned 32-bit integers, decoded text) of each text.
@@ -186,8 +197,9 @@ class WordCodec:
         self.learn(set().union(*cut))
         out = []
         for x in cut:
-            ids = b"".join(map(self.ids.__getitem__, x))
-            out.append((len(ids) // 4, ids, " ".join(map(self.tokens.__getitem__, x))))
+            got = [self.known[w] for w in x]
+            ids = b"".join([g[0] for g in got])
+            out.append((len(ids) // 4, ids, " ".join([g[1] for g in got])))
         return out
 
 
@@ -222,7 +234,7 @@ def _run(docs: DataFrame, path: str, digest: bool) -> DataFrame:
                 hashlib.sha256(ids).hexdigest(),
                 hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(),
             )
-        for batch in chunks(batches, limit=1 << 20):
+        for batch in chunks(batches, limit=4 << 20):
             rows = [finish(*x) for x in own.encode(batch.column("text").to_pylist())]
             columns = [batch.column("doc_id").to_pylist(), *zip(*rows, strict=True)]
             yield pa.record_batch(

@@ -39,7 +39,7 @@ SEGMENT_IDS = 1 << 20
 #: Text bytes in a range partition, about.
 PARTITION_BYTES = 24 << 20
 #: Pieces that a worker remembers; beyond that it starts anew.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 500_000
 #: Every so many one-bits, the select structure stores a place.
 SELECT_STEP = 256
 
@@ -126,14 +126,18 @@ def unpack_segment(image: bytes) -> tuple[EliasFano, np.ndarray]:
     return EliasFano.from_bytes(image[at : at + size]), np.frombuffer(image, f"<u{width}", -1, at + size)
 
 
-# A piece is a run of ASCII blanks and what follows up to the next blank; no
-# pre-token of this tokenizer's rule crosses from a non-blank to a blank.
-PIECE = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# White space, by any engine's reckoning, before a blank: there a cut at the blank would
+# fall into a run of white space, which the tokenizer's rule keeps together.
+CROSSING = re.compile("[\\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 
 
 class PieceEncoder:
-    """The tokenizer library over distinct pieces of text, with a bounded cache."""
+    """The tokenizer library over distinct pieces of text, with a bounded cache.
+
+    Its rule never joins what stands before a blank with the blank, unless that is white
+    space too.  So a text is cut before its blanks, and each distinct piece is encoded
+    once: many new pieces side by side in one call, told apart by their offsets.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -142,21 +146,41 @@ class PieceEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
         self.known: dict[str, bytes] = {}
 
+    def whole(self, batch: list[str]) -> list[bytes]:
+        """Packed ids of each text, straight from the library."""
+        found = self.library.encode_batch_fast(batch, add_special_tokens=False) if batch else []
+        return [np.array(x.ids, self.kind).tobytes() for x in found]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Puts packed ids of unknown pieces (each behind a blank) into the cache."""
+        new = pieces.difference(self.known)
+        if len(self.known) + len(new) > CACHE_PIECES:
+            self.known, new = {}, pieces
+        alone = [x for x in new if not x or x[-1].isspace()]
+        self.known.update(zip(alone, self.whole([" " + x for x in alone]), strict=True))
+        rest = list(new.difference(alone))
+        slabs = [rest[at : at + 2048] for at in range(0, len(rest), 2048)]
+        for slab in slabs:
+            found = self.library.encode(" " + " ".join(slab), add_special_tokens=False)
+            ids = np.array(found.ids, self.kind).tobytes()
+            starts = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.offsets))
+            places = np.cumsum([0, *[len(x) + 1 for x in slab]])
+            cuts = (np.searchsorted(starts, places) * self.width).tolist()
+            self.known.update((x, ids[a:b]) for x, a, b in zip(slab, cuts, cuts[1:], strict=False))
+
     def encode(self, batch: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        cut = [[t] if ODD_BLANK.search(t) else PIECE.findall(t) for t in batch]
-        every = set().union(*cut)
-        new = [p for p in every if p not in self.known]
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known, new = {}, list(every)
-        kind = f"<u{self.width}"
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(found.ids, kind).tobytes()
-        return [b"".join(map(self.known.__getitem__, x)) for x in cut]
+        odd = [bool(CROSSING.search(t)) for t in batch]
+        cut = [t.split(" ") for t, o in zip(batch, odd, strict=True) if not o]
+        first = [x.pop(0) for x in cut]
+        self.learn(set().union(*cut))
+        get = self.known.__getitem__
+        plain = iter([a + b"".join(map(get, x)) for a, x in zip(self.whole(first), cut, strict=True)])
+        strange = iter(self.whole([t for t, o in zip(batch, odd, strict=True) if o]))
+        return [next(strange if o else plain) for o in odd]
 
 
 @lru_cache(maxsize=2)
@@ -194,7 +218,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, path: str
             }
             return pa.RecordBatch.from_pydict(row)
 
-        for batch in chunks(batches, limit=1 << 20):
+        for batch in chunks(batches):
             coded = own.encode(batch.column("text").to_pylist())
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
                 held += [ids, end]
