@@ -39,7 +39,7 @@ SEGMENT_IDS = 1 << 20
 #: Text bytes in a range partition, about.
 PARTITION_BYTES = 24 << 20
 #: Pieces that a worker remembers; beyond that it starts anew.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 600_000
 #: Every so many one-bits, the select structure stores a place.
 SELECT_STEP = 256
 
@@ -131,12 +131,16 @@ def unpack_segment(image: bytes) -> tuple[EliasFano, np.ndarray]:
 CROSSING = re.compile("[\\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 
 
+#: Marks that the rule keeps apart from letters and digits, whatever follows.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+
+
 class PieceEncoder:
     """The tokenizer library over distinct pieces of text, with a bounded cache.
 
     Its rule never joins what stands before a blank with the blank, unless that is white
     space too.  So a text is cut before its blanks, and each distinct piece is encoded
-    once: many new pieces side by side in one call, told apart by their offsets.
+    once: many new pieces side by side in one call, told apart by their first tokens.
     """
 
     def __init__(self, path: str) -> None:
@@ -148,6 +152,9 @@ class PieceEncoder:
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.blank = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+        self.blank[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
 
     def whole(self, batch: list[str]) -> list[bytes]:
         """Packed ids of each text, straight from the library."""
@@ -158,18 +165,30 @@ class PieceEncoder:
         """Puts packed ids of unknown pieces (each behind a blank) into the cache."""
         new = pieces.difference(self.known)
         if len(self.known) + len(new) > CACHE_PIECES:
-            self.known, new = {}, pieces
+            self.known, self.tails, new = {}, {}, pieces
         alone = [x for x in new if not x or x[-1].isspace()]
         self.known.update(zip(alone, self.whole([" " + x for x in alone]), strict=True))
-        rest = list(new.difference(alone))
-        slabs = [rest[at : at + 2048] for at in range(0, len(rest), 2048)]
-        for slab in slabs:
-            found = self.library.encode(" " + " ".join(slab), add_special_tokens=False)
-            ids = np.array(found.ids, self.kind).tobytes()
-            starts = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.offsets))
-            places = np.cumsum([0, *[len(x) + 1 for x in slab]])
-            cuts = (np.searchsorted(starts, places) * self.width).tolist()
-            self.known.update((x, ids[a:b]) for x, a, b in zip(slab, cuts, cuts[1:], strict=False))
+        # marks behind a letter or digit are a run of their own: the word in front is looked up without them
+        marked = []
+        words = new.difference(alone)
+        for x in [x for x in words if x[-1] in MARKS]:
+            word = x.rstrip(MARKS)
+            if word and word[-1].isalnum():
+                marked.append((x, word, x[len(word) :]))
+        words.difference_update([x for x, _, _ in marked])
+        words.update([w for _, w, _ in marked if w not in self.known])
+        order = list(words)
+        slabs = [order[at : at + 512] for at in range(0, len(order), 512)]
+        found = self.library.encode_batch_fast([" " + " ".join(x) for x in slabs], add_special_tokens=False)
+        for slab, x in zip(slabs, found, strict=True):
+            # no piece has a blank but its first character, so each starts at a token that begins with one
+            ids = np.array(x.ids, self.kind)
+            cuts = (np.flatnonzero(self.blank[ids]) * self.width).tolist()
+            packed = ids.tobytes()
+            self.known.update([(w, packed[a:b]) for w, a, b in zip(slab, cuts, [*cuts[1:], len(packed)], strict=True)])
+        tails = list({t for _, _, t in marked if t not in self.tails})
+        self.tails.update(zip(tails, self.whole(tails), strict=True))
+        self.known.update([(x, self.known[w] + self.tails[t]) for x, w, t in marked])
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Packed ids of each text."""
