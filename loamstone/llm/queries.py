@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, decontamination, licenses, near_dedup, quality_rules, sharding, suffix_dedup, token_files
+from . import (
+    bpe_trie, decontamination, licenses, near_dedup, quality_classifier, quality_rules, secrets, sharding, suffix_dedup,
+    token_files,
+)
 from .common import table
 
 #: The id that ends each document in token files.
@@ -26,10 +29,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -
     return token_files.read_segments(spark, written)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,7 +69,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
     return {
         "op1_token_files": op1_token_files,
+        "op2_secrets": op2_secrets,
         "op3_suffix_dedup": op3_suffix_dedup,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_decontamination": op5_decontamination,
         "op6_near_dedup": op6_near_dedup,
         "op7_sharding": op7_sharding,
