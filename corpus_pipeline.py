@@ -1,6 +1,84 @@
-STAGES = []
+"""A training corpus from raw documents: five stages, each one operator over all that came before.
+
+Quality rules drop what they reject; near-dedup leaves one document of each group;
+decontamination drops documents that hold benchmark passages; the secret scan masks
+secrets and keeps every document; BPE turns texts into token ids.  Each stage takes
+(spark, docs, sf_dir) and returns a table that is written as Parquet and read again as
+the next one's ``docs``; all but the last return the columns they were given.
+
+Defined cases: null texts are rejected by the first stage; rows that repeat a doc_id
+with the same text are one document for near-dedup; an empty table stays empty.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loamstone.llm import bpe_trie, decontamination, near_dedup, quality_rules, secrets
+from loamstone.llm.common import materialise, table
+from loamstone.llm.decontamination import small
+from loamstone.llm.queries import tokenizer
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
+    return judged.filter("kept").select(*[judged[f"kept_{c}"].alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    kept = materialise(near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")), "kept-ids")
+    ids = kept.distinct()
+    rows = docs.join(small(ids), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    return rows if kept.count() == ids.count() else rows.dropDuplicates(["doc_id", "text"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
+    bad = materialise(found.select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated-ids")
+    return docs.join(small(bad), docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts."""
+    model = secrets.train(secrets.labelled_findings(spark))
+    found = secrets.find_secrets(docs, model, "source" if "source" in docs.columns else None)
+    changed = ~found["ls_clean"].eqNullSafe(found["text"])
+    new = {"text": F.col("ls_clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("ls_clean").cast("long")).otherwise(F.col("n_chars"))
+    return found.select(*[new[c].alias(c) if c in new else found[c] for c in docs.columns])
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every document."""
+    coded = bpe_trie.encode_documents(docs, tokenizer("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("near_dedup", near_duplicates),
+    ("decontamination", decontaminate),
+    ("secret_scan", mask_secrets),
+    ("bpe", encode),
+]
+
+#: Union-find, a forest and BPE are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
