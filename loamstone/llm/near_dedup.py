@@ -11,11 +11,13 @@ With 32 bands of 4 rows, a pair at similarity 0.85 is missed by every band with
 probability below 1e-10.  Candidates are confirmed on full sets.
 
 Equal sets are one node from the start, so thousands of copies cost one row.
-Inside a band's bucket no pairs are listed: each node is compared with the
-bucket's first and last node, components are formed, and only nodes that are then
-still outside the component of their bucket's first node are compared with the
-bucket's other components.  So a bucket of n nodes costs about 2n comparisons, and
-no link that could join two components goes untested.
+Inside a band's bucket no pairs are listed: each node is compared with the bucket's
+lowest doc_id, which in a group of copies is mostly their model; components are
+formed, and only nodes that are then still outside the component of their bucket's
+lowest one are compared with the bucket's other components.  Shingles that no other
+candidate has cannot be in an intersection; counting them bounds, exactly, what a
+pair can reach, and spares almost all of these comparisons.  No link that could join
+two components goes untested.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing;
 texts of one or two words have one shingle; rows that repeat a doc_id are judged
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, map_arrow, materialise, release, texts
@@ -42,6 +44,7 @@ BANDS = 32
 ROWS = 4
 #: A pair is linked from this percentage of common shingles on.
 PERCENT = 85
+LAST = (1 << 63) - 1
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = np.zeros(256, bool)
@@ -206,12 +209,14 @@ class NearDuplicates:
         )
         return materialise(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    def confirmed(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    def sets(self, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+        """(node, items): full shingle sets of the nodes in ``wanted``."""
+        ids = materialise(nodes.select("node", "digest", "id").join(wanted, "node"), "wanted")
+        own = self.docs.join(small(ids), self.docs["doc_id"].eqNullSafe(ids["id"])).select("node", "digest", "text")
+        return materialise(map_arrow(own, _full_sets(self.shingle), "node long, items array<bigint>"), "sets")
+
+    def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) of ``pairs(a, b)`` that are linked, by their full sets."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest", "id"), "node")
-        ids = materialise(ids, "wanted")
-        wanted = self.docs.join(small(ids), self.docs["doc_id"].eqNullSafe(ids["id"])).select("node", "digest", "text")
-        sets = materialise(map_arrow(wanted, _full_sets(self.shingle), "node long, items array<bigint>"), "sets")
         left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
         both = pairs.join(left, "a").join(right, "b")
@@ -222,49 +227,59 @@ class NearDuplicates:
         release(self.docs.sparkSession)
         return found
 
-    def alike_in_size(self) -> F.Column:
-        """No pair beyond this can reach the threshold."""
-        return 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
+    def possible(self) -> Column:
+        """Whether sets of ``n_a`` and ``n_b`` items, ``m_a`` and ``m_b`` of them in other sets too, can be linked."""
+        most = F.least("m_a", "m_b")
+        return 100 * most >= self.percent * (F.col("n_a") + F.col("n_b") - most)
 
     def groups(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, kept) of every document."""
         nodes = self.nodes()
-        sizes = nodes.select("node", "n")
-        members = nodes.select("node", "n", F.explode("bands").alias("key"))
+        members = nodes.select("node", "n", F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), "node").alias("by"), F.explode("bands").alias("key"))
+        # a group's lowest id is what the others were mostly copied from, and so in its middle
         hubs = materialise(
-            members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first != last"), "buckets"
-        )
-        shared = materialise(members.join(hubs, "key"), "members")
-        ends = shared.select("node", "n", F.explode(F.array("first", "last")).alias("hub")).filter("node != hub")
-        pairs = ends.select(
-            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
-        ).distinct()
-        sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(
-            sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b"
-        )
-        tested = materialise(sized.filter(self.alike_in_size()).select("a", "b"), "pairs")
-        links = self.confirmed(tested, nodes)
+            members.groupBy("key").agg(F.min("by").alias("low"), F.max("by").alias("high")).filter("low.node != high.node")
+            .select("key", F.col("low.node").alias("first")),
+            "buckets",
+        )
+        shared = materialise(members.drop("by").join(hubs, "key"), "members")
+        sets = self.sets(nodes, shared.select("node").distinct())
+        # items that one node alone has can be in no intersection: they bound what a pair can reach
+        items = sets.select("node", F.explode("items").alias("item"))
+        alone = items.groupBy("item").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other")
+        lonely = alone.groupBy("node").agg(F.count("*").alias("alone"))
+        sizes = sets.select("node", F.size("items").alias("n")).distinct().join(lonely, "node", "left")
+        sizes = materialise(sizes.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m")), "sizes")
+        release(self.docs.sparkSession)
+
+        def sized(side: str) -> DataFrame:
+            return sizes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("m").alias(f"m_{side}"))
+
+        pairs = shared.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+        able = pairs.join(sized("a"), "a").join(sized("b"), "b").filter(self.possible())
+        links = self.confirmed(materialise(able.select("a", "b"), "pairs"), sets)
         labels = components(links)
         # nodes outside the component of their bucket's first node meet the bucket's other components
-        named = shared.join(labels.select("node", F.col("label").alias("known")), "node", "left").select(
-            "key", "node", "n", "first", F.coalesce("known", "node").alias("label")
+        known = labels.select("node", F.col("label").alias("known"))
+        named = shared.join(known, "node", "left").select("key", "node", "first", F.coalesce("known", "node").alias("label"))
+        main = labels.select(F.col("node").alias("first"), F.col("label").alias("f_known"))
+        named = named.join(main, "first", "left").withColumn("main", F.coalesce("f_known", "first"))
+        named = named.join(sizes, "node").select("key", "node", "n", "m", "label", "main", "first")
+        able_alone = 100 * F.col("m") >= self.percent * F.col("n")
+        named = materialise(named.filter(able_alone), "named")
+        outside = named.filter("label != main").select(
+            "key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"), F.col("label").alias("a_label")
         )
-        named = materialise(
-            named.join(labels.select(F.col("node").alias("first"), F.col("label").alias("f_known")), "first", "left")
-            .withColumn("main", F.coalesce("f_known", "first")).drop("f_known"),
-            "named",
+        others = named.filter("node != first").join(outside.select("key").distinct(), "key", "left_semi").select(
+            "key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"),
+            F.col("label").alias("b_label"), (F.col("label") != F.col("main")).alias("b_outside"),
         )
-        outside = named.filter("label != main")
-        other = named.select("key", F.col("node").alias("y"), F.col("n").alias("n_b"), F.col("label").alias("y_label"))
-        open_keys = outside.select("key").distinct()
-        met = outside.select("key", F.col("node").alias("x"), F.col("n").alias("n_a"), "label").join(
-            other.join(open_keys, "key", "left_semi"), "key"
+        met = outside.join(others, "key").filter(
+            (F.col("a_label") != F.col("b_label")) & self.possible() & (~F.col("b_outside") | (F.col("a") < F.col("b")))
         )
-        met = met.filter((F.col("label") != F.col("y_label")) & self.alike_in_size())
-        rest = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        rest = materialise(rest.join(tested, ["a", "b"], "left_anti"), "rest")
+        rest = materialise(met.select("a", "b").distinct(), "rest")
         if not rest.isEmpty():
-            links = links.unionByName(self.confirmed(rest, nodes))
+            links = links.unionByName(self.confirmed(rest, sets))
             labels = components(links)
         placed = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"), "id")
         lowest = materialise(placed.groupBy("label").agg(F.min("id").alias("component")), "components")
