@@ -49,11 +49,11 @@ from .near_dedup import mix
 LENGTH = 50
 ANCHOR = 16
 #: Text bytes of one block, in which equal contexts are merged before they travel.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of contexts in a bucket, about.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 #: Bytes of distinct contexts under one suffix array.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 PASSES = 2
 LAST = (1 << 63) - 1
 
@@ -75,33 +75,34 @@ def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     the ranks of the suffixes behind, doubling the depth, and touches unsettled groups only.
     """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(16, np.uint8)])
     first = min(8, depth)
-    key = words_at(padded, n).byteswap() >> np.uint64(8 * (8 - first))
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n + 1, np.int64)
-    sorted_key = key[order]
-    new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+    key = words_at(np.concatenate([data, np.zeros(16, np.uint8)]), n).byteswap() >> np.uint64(8 * (8 - first))
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    del key
     heads = np.flatnonzero(new)
-    rank[order] = np.repeat(heads, np.diff(np.concatenate([heads, [n]])))
+    rank = np.empty(n + 1, np.int32)
+    rank[order] = np.repeat(heads.astype(np.int32), np.diff(np.append(heads, n)))
     rank[n] = -1
     have = first
     while have < depth:
         step = min(have, depth - have)
-        sizes = np.diff(np.concatenate([heads, [n]]))
+        sizes = np.diff(np.append(heads, n))
         open_groups = sizes > 1
         if not open_groups.any():
             break
-        at = np.flatnonzero(np.repeat(open_groups, sizes))  # places in the order that are not settled
+        at = np.flatnonzero(np.repeat(open_groups, sizes)).astype(np.int32)  # places that are not settled
         suffix = order[at]
-        group = rank[suffix]
-        behind = rank[np.minimum(suffix + step, n)] + 1
-        by = np.argsort(group * np.int64(n + 1) + behind, kind="stable")
-        suffix, group, behind = suffix[by], group[by], behind[by]
+        both = rank[suffix].astype(np.int64) * (n + 1) + (rank[np.minimum(suffix + step, n)] + 1)
+        by = np.argsort(both, kind="stable")
+        suffix, both = suffix[by], both[by]
+        del by
         order[at] = suffix
-        split = np.concatenate([[True], (group[1:] != group[:-1]) | (behind[1:] != behind[:-1])])
+        split = np.concatenate([[True], both[1:] != both[:-1]])
+        del both
         own_heads = np.flatnonzero(split)
-        rank[suffix] = np.repeat(at[own_heads], np.diff(np.concatenate([own_heads, [len(at)]])))
+        rank[suffix] = np.repeat(at[own_heads], np.diff(np.append(own_heads, len(at))))
         new[at] = split
         heads = np.flatnonzero(new)
         have += step
@@ -399,12 +400,12 @@ def _settle(length: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, bodies = None, []
         for batch in batches:
-            for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist(), strict=True):
+            for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body"), strict=True):
                 if bucket != current and bodies:
                     yield finish(bodies)
                     bodies = []
                 current = bucket
-                bodies.append(body)
+                bodies.append(body.as_py())
         if bodies:
             yield finish(bodies)
 
@@ -444,7 +445,7 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, passes: int = PASSES)
     """(id, mark, a, b): byte ranges of each text that a smaller doc_id covers; (id, mark) names a row's text."""
     spark = docs.sparkSession
     total = input_bytes(docs)
-    buckets = max(256, -(-4 * total // (BUCKET_BYTES * passes)))
+    buckets = max(512, -(-4 * total // (BUCKET_BYTES * passes)))
     keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("mark"), "text")
     out: DataFrame | None = None
     for turn in range(passes):
