@@ -156,3 +156,12 @@ def judge_with(docs: DataFrame, weights: list[float], threshold: float, keep: tu
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("score") >= threshold))
     )
+
+
+def accepted(judged: DataFrame) -> DataFrame:
+    """The rows that are kept.
+
+    Pushed below the projections that compute it, the filter would compute every
+    statistic again for each use; a row number that it also reads keeps it above them.
+    """
+    return judged.withColumn("ls_row", F.monotonically_increasing_id()).filter("kept and ls_row >= 0").drop("ls_row")

@@ -20,7 +20,6 @@ gives no rows.  A document is never split over segments.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ SEGMENT_IDS = 1 << 20
 #: Text bytes in a range partition, about.
 PARTITION_BYTES = 24 << 20
 #: Pieces that a worker remembers; beyond that it starts anew.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_000_000
 #: Every so many one-bits, the select structure stores a place.
 SELECT_STEP = 256
 
@@ -128,7 +128,9 @@ def unpack_segment(image: bytes) -> tuple[EliasFano, np.ndarray]:
 
 # White space, by any engine's reckoning, before a blank: there a cut at the blank would
 # fall into a run of white space, which the tokenizer's rule keeps together.
-CROSSING = re.compile("[\\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
+CROSSING = (
+    r"[\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+)
 
 
 #: Marks that the rule keeps apart from letters and digits, whatever follows.
@@ -190,16 +192,35 @@ class PieceEncoder:
         self.tails.update(zip(tails, self.whole(tails), strict=True))
         self.known.update([(x, self.known[w] + self.tails[t]) for x, w, t in marked])
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        odd = [bool(CROSSING.search(t)) for t in batch]
-        cut = [t.split(" ") for t, o in zip(batch, odd, strict=True) if not o]
-        first = [x.pop(0) for x in cut]
-        self.learn(set().union(*cut))
-        get = self.known.__getitem__
-        plain = iter([a + b"".join(map(get, x)) for a, x in zip(self.whole(first), cut, strict=True)])
-        strange = iter(self.whole([t for t, o in zip(batch, odd, strict=True) if o]))
-        return [next(strange if o else plain) for o in odd]
+    def encode(self, batch: pa.Array) -> list[bytes]:
+        """Packed ids of each text of a string array without nulls."""
+        odd = pc.match_substring_regex(batch, CROSSING)
+        marks = odd.to_pylist()
+        strange = iter(self.whole(batch.filter(odd).to_pylist()))
+        cut = pc.split_pattern(batch.filter(pc.invert(odd)), " ")
+        if not len(cut):
+            return list(strange)
+        offsets = cut.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        coded = cut.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        pieces = coded.dictionary.to_pylist()
+        self.learn(set(pieces))
+        # the first piece of a text has no blank before it
+        first = [pieces[c] for c in codes[offsets[:-1]]]
+        own = list(set(first))
+        heads = dict(zip(own, self.whole(own), strict=True))
+        codes[offsets[:-1]] = len(pieces) + np.arange(len(first))
+        packed = [self.known[x] for x in pieces] + [heads[x] for x in first]
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
+        starts = np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join(packed), self.kind)
+        each = sizes[codes]
+        ends = np.cumsum(each)
+        ids = ids[np.repeat(starts[codes] - (ends - each), each) + np.arange(ends[-1])].tobytes()
+        cuts = [0, *(ends[offsets[1:] - 1] * self.width).tolist()]
+        plain = iter([ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        return [next(strange if o else plain) for o in marks]
 
 
 @lru_cache(maxsize=2)
@@ -237,8 +258,8 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, path: str
             }
             return pa.RecordBatch.from_pydict(row)
 
-        for batch in chunks(batches):
-            coded = own.encode(batch.column("text").to_pylist())
+        for batch in chunks(batches, limit=8 << 20):
+            coded = own.encode(batch.column("text"))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
                 held += [ids, end]
                 lengths.append(len(ids) // own.width + 1)
