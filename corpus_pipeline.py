@@ -26,7 +26,7 @@ from loamstone.llm.queries import tokenizer
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return judged.filter("kept").select(*[judged[f"kept_{c}"].alias(c) for c in docs.columns])
+    return quality_rules.accepted(judged).select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
