@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -60,9 +61,15 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are out of use."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of plans that are out of use.
+
+    Python's references go first, then the driver's; what one collection finds out of use
+    is cleaned behind its back, and may hold the last reference to something else.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
