@@ -12,12 +12,12 @@ probability below 1e-10.  Candidates are confirmed on full sets.
 
 Equal sets are one node from the start, so thousands of copies cost one row.
 Inside a band's bucket no pairs are listed: each node is compared with the bucket's
-lowest doc_id, which in a group of copies is mostly their model; components are
-formed, and only nodes that are then still outside the component of their bucket's
-lowest one are compared with the bucket's other components.  Shingles that no other
-candidate has cannot be in an intersection; counting them bounds, exactly, what a
-pair can reach, and spares almost all of these comparisons.  No link that could join
-two components goes untested.
+hub, its lowest doc_id, which in a group of copies is mostly their model.  Components
+are formed, and only nodes that are then still outside their hub's component are
+compared with the hub's other nodes, if exact bounds allow a link: two sets can share no
+more of the hub's shingles than each has, and no shingle that no other candidate has.
+That spares almost all of these comparisons, and no link that could join two components
+goes untested.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing;
 texts of one or two words have one shingle; rows that repeat a doc_id are judged
@@ -215,23 +215,17 @@ class NearDuplicates:
         own = self.docs.join(small(ids), self.docs["doc_id"].eqNullSafe(ids["id"])).select("node", "digest", "text")
         return materialise(map_arrow(own, _full_sets(self.shingle), "node long, items array<bigint>"), "sets")
 
-    def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) of ``pairs(a, b)`` that are linked, by their full sets."""
+    def measured(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """``pairs(a, b)`` with the size of their intersection and whether they are linked, by full sets."""
         left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
         both = pairs.join(left, "a").join(right, "b")
-        common = F.size(F.array_intersect("x", "y"))
-        counted = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("total"))
-        linked = counted.filter(100 * F.col("common") >= self.percent * (F.col("total") - F.col("common")))
-        found = materialise(linked.select("a", "b").distinct(), "links")
+        counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
+        linked = 100 * F.col("common") >= self.percent * (F.col("total") - F.col("common"))
+        found = materialise(counted.select("a", "b", "common", linked.alias("linked")).distinct(), "measured")
         release(self.docs.sparkSession)
         return found
 
-    def possible(self) -> Column:
-        """Whether sets of ``n_a`` and ``n_b`` items, ``m_a`` and ``m_b`` of them in other sets too, can be linked."""
-        most = F.least("m_a", "m_b")
-        return 100 * most >= self.percent * (F.col("n_a") + F.col("n_b") - most)
-
     def groups(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, kept) of every document."""
         nodes = self.nodes()
@@ -252,34 +246,34 @@ class NearDuplicates:
         sizes = materialise(sizes.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m")), "sizes")
         release(self.docs.sparkSession)
 
-        def sized(side: str) -> DataFrame:
-            return sizes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("m").alias(f"m_{side}"))
-
         pairs = shared.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-        able = pairs.join(sized("a"), "a").join(sized("b"), "b").filter(self.possible())
-        links = self.confirmed(materialise(able.select("a", "b"), "pairs"), sets)
+        around = self.measured(materialise(pairs, "pairs"), sets)
+        links = around.filter("linked").select("a", "b")
         labels = components(links)
-        # nodes outside the component of their bucket's first node meet the bucket's other components
-        known = labels.select("node", F.col("label").alias("known"))
-        named = shared.join(known, "node", "left").select("key", "node", "first", F.coalesce("known", "node").alias("label"))
-        main = labels.select(F.col("node").alias("first"), F.col("label").alias("f_known"))
-        named = named.join(main, "first", "left").withColumn("main", F.coalesce("f_known", "first"))
-        named = named.join(sizes, "node").select("key", "node", "n", "m", "label", "main", "first")
-        able_alone = 100 * F.col("m") >= self.percent * F.col("n")
-        named = materialise(named.filter(able_alone), "named")
-        outside = named.filter("label != main").select(
-            "key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"), F.col("label").alias("a_label")
-        )
-        others = named.filter("node != first").join(outside.select("key").distinct(), "key", "left_semi").select(
-            "key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"),
-            F.col("label").alias("b_label"), (F.col("label") != F.col("main")).alias("b_outside"),
+        # nodes outside the component of their hub meet the hub's other nodes of other components
+        own = labels.select(F.col("node").alias("b"), F.col("label").alias("b_known"))
+        hub = labels.select(F.col("node").alias("a"), F.col("label").alias("a_known"))
+        named = around.join(own, "b", "left").join(hub, "a", "left").join(sizes.withColumnRenamed("node", "b"), "b")
+        named = named.select(
+            F.col("a").alias("hub"), F.col("b").alias("node"), "n", "m", "common", F.coalesce("b_known", "b").alias("label"),
+            (F.coalesce("b_known", "b") != F.coalesce("a_known", "a")).alias("outside"),
         )
-        met = outside.join(others, "key").filter(
-            (F.col("a_label") != F.col("b_label")) & self.possible() & (~F.col("b_outside") | (F.col("a") < F.col("b")))
-        )
-        rest = materialise(met.select("a", "b").distinct(), "rest")
+        named = materialise(named.filter(100 * F.col("m") >= self.percent * F.col("n")), "named")
+        side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "m", "common", "label", "outside")]
+        left = named.filter("outside").select("hub", *side("a"))
+        right = named.join(left.select("hub").distinct(), "hub", "left_semi").select("hub", *side("b"))
+        # what both can share: of the hub's items, and of items that the hub lacks but others have
+        most = F.least(
+            F.col("a_m"), F.col("b_m"),
+            F.least("a_common", "b_common") + F.least(F.col("a_m") - F.col("a_common"), F.col("b_m") - F.col("b_common")),
+        )
+        met = left.join(right, "hub").filter(
+            (F.col("a_label") != F.col("b_label")) & (~F.col("b_outside") | (F.col("a_node") < F.col("b_node")))
+            & (100 * most >= self.percent * (F.col("a_n") + F.col("b_n") - most))
+        )
+        rest = materialise(met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "rest")
         if not rest.isEmpty():
-            links = links.unionByName(self.confirmed(rest, sets))
+            links = links.unionByName(self.measured(rest, sets).filter("linked").select("a", "b"))
             labels = components(links)
         placed = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"), "id")
         lowest = materialise(placed.groupBy("label").agg(F.min("id").alias("component")), "components")
