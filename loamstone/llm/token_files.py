@@ -24,6 +24,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +136,7 @@ CROSSING = (
 
 #: Marks that the rule keeps apart from letters and digits, whatever follows.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+MARK_SET = frozenset(MARKS)
 
 
 class PieceEncoder:
@@ -171,23 +173,20 @@ class PieceEncoder:
         alone = [x for x in new if not x or x[-1].isspace()]
         self.known.update(zip(alone, self.whole([" " + x for x in alone]), strict=True))
         # marks behind a letter or digit are a run of their own: the word in front is looked up without them
-        marked = []
         words = new.difference(alone)
-        for x in [x for x in words if x[-1] in MARKS]:
-            word = x.rstrip(MARKS)
-            if word and word[-1].isalnum():
-                marked.append((x, word, x[len(word) :]))
+        ended = [(x, x.rstrip(MARKS)) for x in words if x[-1] in MARK_SET]
+        marked = [(x, w, x[len(w) :]) for x, w in ended if w and w[-1].isalnum()]
         words.difference_update([x for x, _, _ in marked])
-        words.update([w for _, w, _ in marked if w not in self.known])
+        words.update({w for _, w, _ in marked}.difference(self.known))
         order = list(words)
-        slabs = [order[at : at + 512] for at in range(0, len(order), 512)]
-        found = self.library.encode_batch_fast([" " + " ".join(x) for x in slabs], add_special_tokens=False)
-        for slab, x in zip(slabs, found, strict=True):
+        slabs = [" " + " ".join(order[at : at + 64]) for at in range(0, len(order), 64)]
+        if slabs:
+            found = self.library.encode_batch_fast(slabs, add_special_tokens=False)
             # no piece has a blank but its first character, so each starts at a token that begins with one
-            ids = np.array(x.ids, self.kind)
-            cuts = (np.flatnonzero(self.blank[ids]) * self.width).tolist()
+            ids = np.concatenate([np.array(x.ids, self.kind) for x in found])
+            cuts = [*(np.flatnonzero(self.blank[ids]) * self.width).tolist(), ids.nbytes]
             packed = ids.tobytes()
-            self.known.update([(w, packed[a:b]) for w, a, b in zip(slab, cuts, [*cuts[1:], len(packed)], strict=True)])
+            self.known.update(zip(order, [packed[a:b] for a, b in pairwise(cuts)], strict=True))
         tails = list({t for _, _, t in marked if t not in self.tails})
         self.tails.update(zip(tails, self.whole(tails), strict=True))
         self.known.update([(x, self.known[w] + self.tails[t]) for x, w, t in marked])
