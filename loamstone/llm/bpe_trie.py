@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from .common import chunks, map_arrow, texts
 
 #: Words that a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 #: Characters on whose classes every regular expression engine agrees.
 PLAIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\u024f]")
@@ -234,7 +234,7 @@ def _run(docs: DataFrame, path: str, digest: bool) -> DataFrame:
                 hashlib.sha256(ids).hexdigest(),
                 hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(),
             )
-        for batch in chunks(batches, limit=4 << 20):
+        for batch in chunks(batches, limit=2 << 20):
             rows = [finish(*x) for x in own.encode(batch.column("text").to_pylist())]
             columns = [batch.column("doc_id").to_pylist(), *zip(*rows, strict=True)]
             yield pa.record_batch(
