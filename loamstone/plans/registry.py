@@ -1,4 +1,4 @@
-"""All registered queries of the engine's own operators."""
+"""All registered queries of the engine's own operators, each with the SQL that says the same."""
 
 from __future__ import annotations
 
@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import content, graphs, search
+
+Query = Callable[[SparkSession, str], DataFrame]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    """Which documents match each benchmark text best: BM25 and a deterministic reranker, fused."""
+    return search.flagship(spark, sf_dir)
+
+
+def _all() -> dict[str, tuple[Query, str | None]]:
+    return {**search.QUERIES, **graphs.QUERIES, **content.QUERIES}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: fn for name, (fn, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
