@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker looks at together.
 CHUNK_BYTES = 4 << 20
+#: Bytes of one Arrow batch on its way to or from a worker.
+BATCH_BYTES = 8 << 20
 
 #: Word characters of the token contract are ASCII digits, ASCII letters and
 #: every code point above 0x7F; this table lower-cases A-Z and blanks the rest.
@@ -88,11 +92,26 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         yield batch.slice(start, n - start)
 
 
+def tame_malloc() -> None:
+    """Has large arrays go back to the system when they are freed, where the C library can do that.
+
+    Workers live on from stage to stage; without it they keep the largest heap they ever had.
+    """
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
 def map_arrow(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """``mapInArrow`` under a name that reads well in plans."""
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` over batches of bounded bytes, in workers that give memory back."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tame_malloc()
+        yield from fn(batches)
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(work, schema)
 
 
 def input_bytes(docs: DataFrame) -> int:

@@ -49,7 +49,7 @@ from .near_dedup import mix
 LENGTH = 50
 ANCHOR = 16
 #: Text bytes of one block, in which equal contexts are merged before they travel.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Bytes of contexts in a bucket, about.
 BUCKET_BYTES = 4 << 20
 #: Bytes of distinct contexts under one suffix array.
@@ -311,7 +311,7 @@ def _deal(length: int, buckets: int, passes: int, turn: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         held = 0
-        for batch in chunks(batches, limit=2 << 20):
+        for batch in chunks(batches, limit=1 << 20):
             raw = batch.column("text").cast(pa.binary()).to_pylist()
             data = np.frombuffer(b"".join(raw), np.uint8)
             limits = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
