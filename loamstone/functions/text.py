@@ -31,7 +31,7 @@ def _normalize_batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def normalize_text(text: Column | str) -> Column:
     """:func:`normalize` in Arrow batches; Spark has neither NFC nor Python's categories."""
-    return F.pandas_udf(_normalize_batches, "string", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(_normalize_batches, "string")(text)
 
 
 def strip(text: Column) -> Column:

@@ -177,7 +177,7 @@ def chunk_documents(elements: DataFrame, relationships: DataFrame, size: int = 1
         return pd.DataFrame(chunk_one(key[0], items, links, size, overlap), columns=names)
 
     left = elements.select("document_id", "element_id", "ordinal", "element_type", "content_kind", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("metadata", F.lit("{}")).alias("metadata"))
-    right = relationships.select("document_id", "rel_ordinal", F.col("source_element_id").alias("source"), F.col("relationship_type").alias("type"), F.col("target_element_id").alias("target"))
+    right = relationships.select(F.col("document_id").alias("document_id"), "rel_ordinal", F.col("source_element_id").alias("source"), F.col("relationship_type").alias("type"), F.col("target_element_id").alias("target"))
     return left.groupBy("document_id").cogroup(right.groupBy("document_id")).applyInPandas(work, CHUNKS)
 
 
@@ -188,4 +188,4 @@ def split_column(text: Column, size: int = 1000, overlap: int = 100) -> Column:
         for batch in texts:
             yield batch.map(lambda t: split_text((t or "").strip(), size, overlap))
 
-    return F.pandas_udf(work, "array<string>", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(work, "array<string>")(text)
