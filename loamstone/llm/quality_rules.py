@@ -150,18 +150,22 @@ def judge_with(docs: DataFrame, weights: list[float], threshold: float, keep: tu
     stats = stats.withColumn("grams", _grams(F.col("words"), F.col("shapes"), len(weights) // 2)).drop("words", "shapes")
     total = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get(table, g))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
+    judged = (
         stats.withColumn("score", F.round(F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(F.lit(0.0)), 6))
         .drop("grams")
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("score") >= threshold))
+        .withColumn("ls_row", F.monotonically_increasing_id())
+    )
+    # a filter on these columns, pushed below the projections that compute them, would compute
+    # every statistic again for each use; reading a row number keeps it above them
+    names = [c for c in judged.columns if c not in ("ls_row", "doc_id") and not c.startswith("kept_")]
+    return judged.select(
+        *[c for c in judged.columns if c == "doc_id" or c.startswith("kept_")],
+        *[F.when(F.col("ls_row") >= 0, F.col(c)).alias(c) for c in names],
     )
 
 
 def accepted(judged: DataFrame) -> DataFrame:
-    """The rows that are kept.
-
-    Pushed below the projections that compute it, the filter would compute every
-    statistic again for each use; a row number that it also reads keeps it above them.
-    """
-    return judged.withColumn("ls_row", F.monotonically_increasing_id()).filter("kept and ls_row >= 0").drop("ls_row")
+    """The rows that are kept."""
+    return judged.filter("kept")
