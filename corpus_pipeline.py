@@ -23,6 +23,10 @@ from loamstone.llm.decontamination import small
 from loamstone.llm.queries import tokenizer
 
 
+#: Words that the last stage's workers remember: fewer than alone, as earlier stages fill the executors' heaps.
+CACHE_WORDS = 150_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
@@ -57,7 +61,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every document."""
-    coded = bpe_trie.encode_documents(docs, tokenizer("word_bpe_49k.json"))
+    coded = bpe_trie.encode_documents(docs, tokenizer("word_bpe_49k.json"), CACHE_WORDS)
     return coded.select(
         "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
