@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    bpe_trie, decontamination, licenses, near_dedup, quality_classifier, quality_rules, secrets, sharding, suffix_dedup,
-    token_files,
+    bpe_trie, decontamination, licenses, near_dedup, quality_classifier, quality_rules, secrets, sharding, sql,
+    suffix_dedup, token_files,
 )
 from .common import table
 
@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {"op5_decontamination": sql.DECONTAMINATION, "op6_near_dedup": sql.NEAR_DUPLICATES}
