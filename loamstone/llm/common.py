@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 #: Bytes of one Arrow batch on its way to or from a worker.
 BATCH_BYTES = 8 << 20
+#: Arrays from this size on do not stay in a worker's heap; mapping smaller ones costs more than it saves.
+MAPPED_BYTES = 16 << 20
 
 #: Word characters of the token contract are ASCII digits, ASCII letters and
 #: every code point above 0x7F; this table lower-cases A-Z and blanks the rest.
@@ -98,7 +100,9 @@ def tame_malloc() -> None:
     Workers live on from stage to stage; without it they keep the largest heap they ever had.
     """
     with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, MAPPED_BYTES)  # M_MMAP_THRESHOLD: larger blocks are mapped, and unmapped when freed
+        libc.mallopt(-1, 2 * MAPPED_BYTES)  # M_TRIM_THRESHOLD: so much free heap may stay
 
 
 def map_arrow(
