@@ -58,6 +58,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/loamstone/{name}-{uuid.uuid4().hex}"
 
 
+def clean_scratch(spark: SparkSession) -> bool:
+    """Deletes what operators have left in the shared folder; only once no result that reads it is in use."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/loamstone")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage ends here."""
     spark = df.sparkSession
