@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -83,3 +84,13 @@ def caption_seconds(stamp: Column) -> Column:
     n = F.size(parts)
     at = lambda i: F.try_element_at(parts, i).try_cast("double")
     return F.when(n == 3, at(F.lit(1)) * 3600 + at(F.lit(2)) * 60 + at(F.lit(3))).when(n == 2, at(F.lit(1)) * 60 + at(F.lit(2)))
+
+
+def _named_uuids(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in names:
+        yield batch.map(lambda n: str(uuid.uuid5(uuid.NAMESPACE_URL, n)), na_action="ignore")
+
+
+def point_id(collection: str, chunk: Column) -> Column:
+    """A UUID that follows from the chunk id, for stores whose keys must be UUIDs."""
+    return F.pandas_udf(_named_uuids, "string")(F.concat(F.lit(f"{collection}:"), chunk))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -49,3 +51,34 @@ def validate_citations(answers: DataFrame, results: DataFrame) -> DataFrame:
         "answer_id", F.when(n == 0, total == 0).otherwise((total > 0) & (F.size(bad) == 0)).alias("valid"),
         good.alias("validated"), bad.alias("invalid"), F.when(total > 0, F.size(good) / total).otherwise(F.lit(0.0)).alias("coverage"),
     )
+
+
+#: What a model is asked to answer with.
+MODEL_ANSWER = "answer string, citation_ids array<int>"
+
+
+def model_answers(queries: DataFrame, results: DataFrame, model: Callable[[Column, Column], Column]) -> DataFrame:
+    """(query_id, answer, citations) from a model over (query, numbered context) that returns MODEL_ANSWER as JSON.
+
+    Ids are taken once each, in their order; none means the first result; an id that is no
+    rank is an error, and so is an answer that cannot be read.
+    """
+    item = F.struct("rank", "content", "chunk_id", "document_id")
+    gathered = results.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("items"))  # top_k items at most
+    joined = queries.select(F.col("query_id").cast("string").alias("query_id"), "text").join(gathered, "query_id", "left")
+    context = T.formatted_context(F.col("items.content"))
+    said = F.when(F.col("items").isNotNull(), F.from_json(model(F.col("text"), context), MODEL_ANSWER))
+    ids = F.array_distinct(F.col("said.citation_ids"))
+    read = joined.withColumn("said", said).withColumn(
+        "ids", F.when(F.coalesce(F.size(ids), F.lit(0)) > 0, ids).otherwise(F.array(F.lit(1)))
+    )
+    clear = F.assert_true(F.col("items").isNull() | F.col("said.answer").isNotNull(), F.lit("the model's answer cannot be read"))
+    inside = F.assert_true(
+        F.col("items").isNull() | F.forall("ids", lambda i: (i >= 1) & (i <= F.size("items"))), F.lit("a citation is out of range")
+    )
+    cited = F.transform("ids", lambda i: F.struct(i.alias("citation_id"), F.get("items", i - 1)["chunk_id"].alias("chunk_id"), F.get("items", i - 1)["document_id"].alias("document_id")))
+    none = F.array().cast("array<struct<citation_id:int,chunk_id:string,document_id:string>>")
+    return read.filter(clear.isNull() & inside.isNull()).select(
+        "query_id", F.when(F.col("items").isNull(), NO_ANSWER).otherwise(F.col("said.answer")).alias("answer"),
+        F.when(F.col("items").isNull(), none).otherwise(cited).alias("citations"),
+    )

@@ -97,3 +97,11 @@ def drop_inside_tables(texts: DataFrame, tables: DataFrame, share: float = 0.5)
     """Texts of which less than ``share`` lies in any table of their page."""
     inside = F.col("t.document_id").eqNullSafe(F.col("b.document_id")) & F.col("t.page_number").eqNullSafe(F.col("b.page_number"))
     return texts.alias("t").join(tables.alias("b"), inside & (G.overlap_ratio(F.col("t.bbox"), F.col("b.bbox")) >= share), "left_anti")
+
+
+def link_texts(links: DataFrame, words: DataFrame) -> DataFrame:
+    """The visible text of each link: the words of its page whose boxes share area with its box, in order."""
+    on_page = (F.col("l.document_id") == F.col("w.document_id")) & (F.col("l.page_number") == F.col("w.page_number"))
+    met = links.alias("l").join(words.alias("w"), on_page & (G.intersection(F.col("l.bbox"), F.col("w.bbox")) > 0))
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("w.ordinal", "w.text"))), lambda x: x["text"]), " ")
+    return met.groupBy(F.col("l.document_id").alias("document_id"), F.col("l.element_id").alias("element_id")).agg(said.alias("text"))

@@ -7,8 +7,11 @@ yields its root and its asset element only.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import zipfile
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +60,18 @@ def description(visual: Column) -> Column:
         "\n", filled(visual["description"]), F.concat(F.lit("Readable text: "), filled(visual["ocr_text"])),
         F.concat(F.lit("Visual elements: "), items), F.concat(F.lit("Context: "), filled(visual["document_context"])),
     )
+
+
+def _images(packages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in packages:
+        out = []
+        for data in batch:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                out.append([{"asset_path": n, "bytes": z.read(n)} for n in sorted(z.namelist()) if "/media/" in n])
+        yield pd.Series(out)
+
+
+def asset_table(files: DataFrame) -> DataFrame:
+    """(document_id, asset_path, bytes) of the images inside Office ``files(document_id, content)``."""
+    found = F.pandas_udf(_images, "array<struct<asset_path:string,bytes:binary>>")(F.col("content"))
+    return files.select("document_id", F.explode(found).alias("a")).select("document_id", "a.*")

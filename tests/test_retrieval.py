@@ -147,3 +147,37 @@ def test_time_and_space(spark):
     box = "document_id string, element_id string, ordinal int, page_number int, slide_number int, bbox struct<x0:double,y0:double,x1:double,y1:double>"
     b = spark.createDataFrame([("d", "a", 0, 1, None, (0.0, 100.0, 50.0, 140.0)), ("d", "b", 1, 1, None, (0.0, 160.0, 50.0, 400.0)), ("d", "c", 2, 2, None, (0.0, 160.0, 50.0, 400.0)), ("d", "e", 3, None, None, (0.0, 900.0, 50.0, 990.0))], box)
     assert relationships.spatial_edges(b).count() == 2
+
+
+def test_link_texts(spark):
+    box = "document_id string, element_id string, ordinal int, page_number int, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>"
+    words = spark.createDataFrame([("d", "w2", 2, 1, "here", (30.0, 0.0, 50.0, 10.0)), ("d", "w1", 1, 1, "click", (0.0, 0.0, 25.0, 10.0)), ("d", "w3", 3, 1, "not", (60.0, 0.0, 70.0, 10.0)), ("d", "w4", 4, 2, "page", (0.0, 0.0, 9.0, 9.0))], box)
+    links = spark.createDataFrame([("d", "l", 0, 1, "", (0.0, 2.0, 60.0, 8.0))], box)
+    assert relationships.link_texts(links, words).first()["text"] == "click here"
+
+
+def test_model_answers(spark, chunks, queries):
+    found = retrieval.sparse(queries, chunks, 2)
+    says = lambda text: generation.model_answers(queries, found, lambda q, c: F.lit(text)).first()
+    assert [c["chunk_id"] for c in says('{"answer": "a", "citation_ids": [2, 1, 2]}')["citations"]] == ["c1", "c2"]
+    assert [c["citation_id"] for c in says('{"answer": "a", "citation_ids": []}')["citations"]] == [1]
+    with pytest.raises(Exception, match="out of range"):
+        says('{"answer": "a", "citation_ids": [3]}')
+    with pytest.raises(Exception, match="cannot be read"):
+        says("nothing")
+    assert generation.model_answers(queries, found.limit(0), lambda q, c: F.lit("")).first()["answer"] == generation.NO_ANSWER
+
+
+def test_compare(spark, chunks, queries):
+    qrels = spark.createDataFrame([("q", "c2")], "query_id string, chunk_id string")
+    rows = evaluation.compare({"dense": lambda q: retrieval.dense(q, chunks, 1), "sparse": lambda q: retrieval.sparse(q, chunks, 1)}, queries, qrels, 1).collect()
+    assert [(r["retriever"], r["recall"]) for r in rows] == [("sparse", 1.0), ("dense", 0.0)]
+    golden = spark.createDataFrame([("g1", "delta"), ("g2", "none")], "golden_id string, content string")
+    assert {r["golden_id"]: r["chunk_id"] for r in evaluation.matched_by_content(golden, chunks).collect()} == {"g1": "c3", "g2": None}
+
+
+def test_checked(spark, chunks, queries):
+    found = retrieval.sparse(queries, chunks, 2)
+    assert retrieval.checked(found).count() == 2
+    with pytest.raises(Exception, match="lacks part"):
+        retrieval.checked(found.withColumn("content", F.lit(None).cast("string"))).collect()

@@ -163,3 +163,13 @@ def test_key_frames(spark):
 def test_caption_rows_keep_numbers(spark):
     rows = spark.createDataFrame([("v", 0, 0.0, 1.0, "a"), ("v", 1, 1.0, 1.0, " "), ("v", 2, 2.0, 2.0, "b")], "document_id string, pos int, start double, duration double, text string")
     assert [(r["segment_index"], r["end_seconds"]) for r in captions.caption_rows(rows).orderBy("segment_index").collect()] == [(1, 1.0), (3, 4.0)]
+
+
+def test_assets_and_point_ids(spark):
+    import uuid
+
+    from loamstone.functions.text import point_id
+
+    files = spark.createDataFrame([("c", docx())], "document_id string, content binary")
+    assert [(r["asset_path"], bytes(r["bytes"])) for r in media.asset_table(files).collect()] == [("word/media/i.png", b"x")]
+    assert files.select(point_id("k", F.lit("c1")).alias("p")).first()["p"] == str(uuid.uuid5(uuid.NAMESPACE_URL, "k:c1"))
