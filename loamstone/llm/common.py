@@ -20,7 +20,7 @@ CHUNK_BYTES = 4 << 20
 #: Bytes of one Arrow batch on its way to or from a worker.
 BATCH_BYTES = 8 << 20
 #: Arrays from this size on do not stay in a worker's heap; mapping smaller ones costs more than it saves.
-MAPPED_BYTES = 16 << 20
+MAPPED_BYTES = 4 << 20
 
 #: Word characters of the token contract are ASCII digits, ASCII letters and
 #: every code point above 0x7F; this table lower-cases A-Z and blanks the rest.

@@ -311,7 +311,7 @@ def _deal(length: int, buckets: int, passes: int, turn: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         held = 0
-        for batch in chunks(batches, limit=1 << 20):
+        for batch in chunks(batches, limit=256 << 10):
             raw = batch.column("text").cast(pa.binary()).to_pylist()
             data = np.frombuffer(b"".join(raw), np.uint8)
             limits = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
