@@ -30,12 +30,9 @@ STEP = 10
 MAX_DEPTH = 60
 
 
-def _prefix(depth: Column | int) -> Column:
+def _prefix(depth: int) -> Column:
     """The first ``depth`` bits of the hash, as a number."""
-    bits = depth if isinstance(depth, Column) else F.lit(depth)
-    return F.when(bits == 0, F.lit(0).cast("bigint")).otherwise(
-        F.expr(f"shiftrightunsigned(hash64, 64 - {depth})") if not isinstance(depth, Column) else F.lit(None)
-    )
+    return F.expr(f"shiftrightunsigned(hash64, {64 - depth})") if depth else F.lit(0).cast("bigint")
 
 
 def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
@@ -73,10 +70,11 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
                   (F.col("k.depth") == F.col("depth")) & (F.col("k.prefix") == F.col("prefix")))
             .select("doc_id", "n_bytes", "hash64", "depth", F.col("prefix").alias("shard_prefix"))
         )
+        bits = F.lpad(F.bin("shard_prefix"), F.col("depth"), "0")
         placed = found.select(
-            "doc_id", "n_bytes", "depth", F.lpad(F.bin("shard_prefix"), F.col("depth"), "0").alias("bits"), F.lit(0).cast("long").alias("piece"),
-        ).withColumn("shard", F.when(F.col("depth") == 0, F.lit("root")).otherwise(F.col("bits")))
-        placed = placed.select("doc_id", "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), F.lit(False).alias("oversize"))
+            "doc_id", "n_bytes", F.when(F.col("depth") == 0, F.lit("root")).otherwise(bits).alias("shard"),
+            F.col("depth").cast("int").alias("depth"), F.lit(False).alias("oversize"),
+        )
         done = placed if done is None else done.unionByName(placed)
         # what is left lies in cells of the last level that are still too large
         over = fine.filter(F.col("size") > limit).select(F.col("cell").alias("over_cell"))

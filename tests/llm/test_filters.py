@@ -167,7 +167,6 @@ def test_secrets(spark, odd, empty, forest):
 
 def test_forest_as_sql_votes_like_the_model(spark, forest):
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
     shaped = secrets.labelled_findings(spark, 600).selectExpr("struct(value, lead, `left`, `right`, path) as c")
     known = shaped.selectExpr("monotonically_increasing_id() as n", *[f"{sql} as {name}" for name, sql in secrets.FEATURES.items()])
@@ -179,7 +178,6 @@ def test_forest_as_sql_votes_like_the_model(spark, forest):
             votes[k] += r["prediction"]
     own = vectors.withColumn("f", F.struct(*secrets.FEATURES)).selectExpr("n", f"{secrets.forest_sql(forest)} as s").orderBy("n")
     assert [round(r["s"] * len(forest.trees)) for r in own.collect()] == votes
-    assert vector_to_array is not None
 
 
 def test_forest_on_findings_it_has_not_seen(spark, forest):
