@@ -60,10 +60,10 @@ def cosine_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _paired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Queries and chunks with text and vector: vector n goes with benchmark text n and document n."""
+    """All queries and chunks, each with its vector or null: vector n goes with benchmark text n and document n."""
     vectors = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
-    q = views.benchmark_queries(spark, sf_dir).join(vectors.withColumnRenamed("id", "query_id"), "query_id")
-    return q, views.document_chunks(spark, sf_dir).join(vectors.withColumnRenamed("id", "chunk_id"), "chunk_id")
+    q = views.benchmark_queries(spark, sf_dir).join(vectors.withColumnRenamed("id", "query_id"), "query_id", "left")
+    return q, views.document_chunks(spark, sf_dir).join(vectors.withColumnRenamed("id", "chunk_id"), "chunk_id", "left")
 
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from loamstone.errors import InvalidArgument
 from loamstone.operators import evaluation, generation, graph, preprocess, relationships, retrieval
+from loamstone.plans import search
 
 
 def lists(spark, *rankings):
@@ -181,3 +183,29 @@ def test_checked(spark, chunks, queries):
     assert retrieval.checked(found).count() == 2
     with pytest.raises(Exception, match="lacks part"):
         retrieval.checked(found.withColumn("content", F.lit(None).cast("string"))).collect()
+
+
+def test_dense_skips_queries_without_a_vector(spark, chunks, queries):
+    more = queries.union(spark.createDataFrame([("r", "Delta", None)], queries.schema))
+    found = retrieval.hybrid(more, chunks, 2)
+    assert order(found.filter("query_id = 'q'")) == ["c1", "c2"]
+    assert order(found.filter("query_id = 'r'")) == ["c3"]
+
+
+def test_hybrid_query_searches_documents_without_a_vector(spark):
+    """At sf0.01 half of the documents have a vector; BM25 ranks, and its figures, are those of all documents."""
+    data = "/root/testdata/sf0.01"
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        duck.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
+    sql = f"""with {search.TERMS}, {search.ASKED}, {search.SCORES.format(where='')}, {search.TOP.format(name='sparse', src='scores', k=10)},
+     sims as (select cast(b.item_id as varchar) as query_id, cast(d.doc_id as varchar) as chunk_id, round(list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 9) as score
+       from benchmark b join embeddings x on x.vec_id = b.item_id cross join documents d join embeddings y on y.vec_id = d.doc_id),
+     {search.TOP.format(name='dense', src='sims', k=10)},
+     fused as (select query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) as score from (select query_id, chunk_id, rank from sparse union all select query_id, chunk_id, rank from dense) group by 1, 2),
+     {search.TOP.format(name='best', src='fused', k=5)} select query_id, rank, chunk_id, score from best"""
+    expected = {(q, r): (c, round(s, 6)) for q, r, c, s in duck.sql(sql).fetchall()}
+    got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in search.hybrid_topk(spark, data).collect()}
+    assert got == expected
+    plain = {str(r[0]) for r in duck.sql("select doc_id from documents where doc_id not in (select vec_id from embeddings)").fetchall()}
+    assert plain & {c for c, _ in got.values()}
