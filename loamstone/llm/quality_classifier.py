@@ -3,15 +3,16 @@
 A pair (good, bad) of labelled documents says that the first is preferred.  Document
 strengths are linear in text features, the chance that i beats j is the logistic of
 the difference of their strengths, and the weights minimise the logistic loss on
-feature differences.  The cut between good and bad is the quantile of labelled
-strengths at the share of bad labels; a document's score is the logistic of its
-distance to the cut, moved so that the cut itself scores ``CUT_SCORE``.
+feature differences.  The cut between good and bad is the exact quantile of the
+strengths of all labelled rows that are not held out, at the share of bad labels among
+them; a document's score is the logistic of its distance to the cut, moved so that the
+cut itself scores ``CUT_SCORE``.
 
 Features are taken from whole texts, once, for all documents: frequencies of
 character-class pairs, word and line statistics.  Labels, lang, source and doc_id are
-never features.  Fitting uses a bounded sample of labelled rows (``FIT_ROWS`` for each
-class, those with the lowest hash of doc_id) and ``FIT_PAIRS`` pairs; everything else
-covers all rows without a shuffle of texts.
+never features.  Fitting the weights uses a bounded sample of labelled rows (``FIT_ROWS``
+for each class, those with the lowest hash of doc_id) and ``FIT_PAIRS`` pairs; everything
+else, cut and spread included, covers all rows without a shuffle of texts.
 
 Defined cases: null and empty texts have zero features and are scored like any other;
 rows that repeat a doc_id are scored each on its own; a null doc_id has no label and
@@ -21,7 +22,7 @@ is not held out; without labels of both kinds every score is 0.5.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ FIT_ROWS = 3000
 FIT_PAIRS = 40_000
 CUT_SCORE = 0.7
 FOLDS, HELD_OUT = 4, 2
+#: Cells of one histogram on the way to a quantile; fewer distinct values than that are sorted.
+CELLS = 4096
 
 #: Character classes: lower, upper, digit, blank, line end, stop, inner mark, symbol, control, beyond ASCII.
 CLASSES = 10
@@ -140,15 +143,69 @@ def _score(model: Model):
     return work
 
 
+def _strengths(model: Model):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, N_FEATURES)
+                yield pa.record_batch([batch.column("good"), pa.array(model.strength(x.astype(np.float64)))], names=["good", "strength"])
+
+    return work
+
+
+def at_ranks(values: DataFrame, ranks: list[int], cells: int = CELLS) -> dict[int, float]:
+    """The values at these places, from 0 on, of the sorted ``values(strength, n)``, each of which stands n times.
+
+    Histograms narrow the range down; only their cells, or as few values, reach the driver.
+    """
+    low, high, size = values.agg(F.min("strength"), F.max("strength"), F.count("*")).first()
+    if size <= cells:
+        found = sorted(tuple(r) for r in values.groupBy("strength").agg(F.sum("n")).collect())
+        ends = np.cumsum([n for _, n in found])
+        return {r: found[int(np.searchsorted(ends, r, side="right"))][0] for r in ranks}
+    if low == high:
+        return dict.fromkeys(ranks, low)
+    cell = F.least(F.floor((F.col("strength") - low) / (high - low) * cells), F.lit(cells - 1))
+    counted = values.groupBy(cell.alias("cell")).agg(F.min("strength").alias("a"), F.max("strength").alias("b"), F.sum("n").alias("n")).orderBy("cell").collect()
+    out, before = {}, 0
+    for r in counted:
+        inside = [x - before for x in ranks if before <= x < before + r["n"]]
+        if inside:
+            part = values.filter(F.col("strength").between(r["a"], r["b"]))
+            out |= {x + before: v for x, v in at_ranks(part, inside, cells).items()}
+        before += r["n"]
+    return out
+
+
+def quantile(values: DataFrame, total: int, share: float) -> float:
+    """The midpoint quantile of ``total`` sorted values."""
+    place = (total - 1) * share
+    ends = [int(np.floor(place)), int(np.ceil(place))]
+    found = at_ranks(values, sorted(set(ends)))
+    return (found[ends[0]] + found[ends[1]]) / 2
+
+
+def calibrate(model: Model, labelled: DataFrame) -> Model:
+    """``model`` with the cut and the spread of all rows of ``labelled(good, x)``."""
+    strengths = map_arrow(labelled.select("good", "x"), _strengths(model), "good int, strength double")
+    values = materialise(strengths.groupBy("good", "strength").agg(F.count("*").alias("n")), "strengths")
+    counts = {r["good"]: r["n"] for r in values.groupBy("good").agg(F.sum("n").alias("n")).collect()}
+    total = sum(counts.values())
+    cut = quantile(values, total, counts[0] / total)
+    good, bad = (quantile(values.filter(F.col("good") == k), counts[k], 0.5) for k in (1, 0))
+    return replace(model, cut=cut, steep=8.0 / max(good - bad, 1e-6))
+
+
 def train(known: DataFrame, labels: DataFrame) -> Model:
-    """A model from the features of labelled rows that are not held out."""
+    """A model from the features of labelled rows that are not held out: weights from a sample, the cut from all."""
     own = labels.select(labels["doc_id"].cast("long").alias("l_id"), F.col("quality").cast("int").alias("good")).filter("good in (0, 1)")
     joined = known.filter(~F.col("held_out")).join(small(own.distinct()), F.col("doc_id") == F.col("l_id"))
     rank = F.row_number().over(Window.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id"))
     rows = joined.withColumn("rank", rank).filter(F.col("rank") <= FIT_ROWS).select("good", "x").collect()
     if not rows:
         return fit(np.zeros((1, N_FEATURES)), np.zeros(1, bool))
-    return fit(np.array([r["x"] for r in rows], np.float64), np.array([r["good"] == 1 for r in rows]))
+    model = fit(np.array([r["x"] for r in rows], np.float64), np.array([r["good"] == 1 for r in rows]))
+    return calibrate(model, joined) if model.weights.any() else model
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -143,6 +143,27 @@ def test_classifier_ignores_held_out_labels(spark):
     assert first == second
 
 
+def test_classifier_cuts_at_the_share_of_all_labels(spark, monkeypatch):
+    """The cap on the fit sample does not move the cut; every fifth label is bad whatever the text, so that classes overlap."""
+    monkeypatch.setattr(quality_classifier, "FIT_ROWS", 30)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.withColumn("quality", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0, 0).otherwise(F.col("quality")))
+    got = {r["doc_id"]: r for r in quality_classifier.classify(docs, labels).collect()}
+    known = [(got[r["doc_id"]]["predicted"], r["quality"]) for r in labels.collect() if not got[r["doc_id"]]["held_out"]]
+    bad = sum(q == 0 for _, q in known)
+    assert min(bad, len(known) - bad) > 30
+    assert abs(sum(p == 0 for p, _ in known) - bad) <= 2
+
+
+def test_values_at_ranks(spark):
+    rng = np.random.default_rng(3)
+    rows = [float(x) for x in rng.normal(size=300)] + [0.25] * 50 + [-40.0, 1e9]
+    values = spark.createDataFrame([(x,) for x in rows], "strength double").groupBy("strength").agg(F.count("*").alias("n"))
+    ranks = [0, 1, 175, 176, 200, len(rows) - 1]
+    assert quality_classifier.at_ranks(values, ranks, 8) == {r: sorted(rows)[r] for r in ranks}
+    assert quality_classifier.quantile(values, len(rows), 0.145) == pytest.approx(np.quantile(rows, 0.145, method="midpoint"), abs=1e-12)
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secrets.train(secrets.labelled_findings(spark))
