@@ -10,8 +10,9 @@ the hash space; a level-by-level roll-up of those sums tells which prefixes
 overflow, which is the directory; cells that are still too large go on, alone,
 with their own documents.  Every aggregate combines on the map side, so no task
 holds a shard's documents.  Documents whose whole hash collides (repeated rows of
-one id) cannot be told apart by bits: from ``MAX_DEPTH`` on, a running byte sum
-cuts them.  A document over the limit has a shard of its own and is marked.
+one id) cannot be told apart by bits: from ``MAX_DEPTH`` on, those over half the
+limit have a shard each, and a running byte sum cuts the others so that no shard
+passes the limit.  A document over the limit has a shard of its own and is marked.
 
 Defined cases: a null or empty text has 0 bytes and still gets a shard; a null
 doc_id hashes by its text; an empty table gives an empty result.
@@ -85,8 +86,14 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
         alone = rest.groupBy(_prefix(last).alias("cell")).agg(F.max("n_bytes").alias("most"), F.count("*").alias("n"))
         if last == MAX_DEPTH or alone.filter(F.col("n") > 1).isEmpty():
             cell = F.lpad(F.bin(_prefix(last)), last, "0")
-            run = Window.partitionBy(_prefix(last)).orderBy("doc_id", "n_bytes").rowsBetween(Window.unboundedPreceding, -1)
-            piece = F.floor(F.coalesce(F.sum("n_bytes").over(run), F.lit(0)) / limit)
+            whole = Window.partitionBy(_prefix(last))
+            run = whole.orderBy("doc_id", "n_bytes").rowsBetween(Window.unboundedPreceding, -1)
+            big = (F.col("n_bytes") > limit // 2).cast("long")
+            little = F.when(big == 0, F.col("n_bytes")).otherwise(0)
+            # a piece's rows start within one step of each other, so the last of them still ends within the limit
+            step = limit - F.max(little).over(whole) + 1
+            nth = F.floor(F.coalesce(F.sum(little).over(run), F.lit(0)) / step)
+            piece = F.when(big == 1, F.coalesce(F.sum(big).over(run), F.lit(0))).otherwise(F.sum(big).over(whole) + nth)
             tail = rest.select(
                 "doc_id", "n_bytes", F.concat_ws("+", cell, piece.cast("string")).alias("shard"), F.lit(last).alias("depth"),
                 (F.col("n_bytes") > limit).alias("oversize"),

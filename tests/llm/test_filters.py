@@ -273,3 +273,12 @@ def test_sharding_of_one_key(spark):
     rows = [tuple(r) for r in sharding.assign_shards(make(spark, [(1, "x" * 10)] * 30 + [(2, "y" * 50)]), 100).collect()]
     assert len(rows) == 31
     assert max(Counter(r[2] for r in rows).values()) <= 10
+
+
+def test_sharding_of_one_key_with_uneven_sizes(spark):
+    sizes = [60, 60, 150, 33, 33, 33, 33, 33, 7, 0, 150, 99, 51, 50, 50, 1]
+    rows = [tuple(r) for r in sharding.assign_shards(make(spark, [(1, "x" * n) for n in sizes]), 100).collect()]
+    assert sorted(r[1] for r in rows) == sorted(sizes)
+    check_shards(rows, 100)
+    held = Counter(r[2] for r in rows)
+    assert [(r[1], held[r[2]]) for r in rows if r[4]] == [(150, 1)] * 2
