@@ -72,10 +72,7 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(found, "score").select("query_id", "rank", "chunk_id", "score")
 
 
-PAIRED = TERMS.replace("from documents)", "from documents where doc_id in (select vec_id from embeddings))", 1).replace(
-    "from documents d left", "from (select * from documents where doc_id in (select vec_id from embeddings)) d left"
-)
-HYBRID = f"""with {PAIRED}, {ASKED.replace('from benchmark)', 'from benchmark where item_id in (select vec_id from embeddings))')}, {SCORES.format(where='')},
+HYBRID = f"""with {TERMS}, {ASKED}, {SCORES.format(where='')},
  {TOP.format(name='sparse', src='scores', k=10)},
  sims as (select cast(b.item_id as varchar) as query_id, cast(d.doc_id as varchar) as chunk_id, round(list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 9) as score
    from benchmark b join embeddings x on x.vec_id = b.item_id cross join documents d join embeddings y on y.vec_id = d.doc_id),
