@@ -2,20 +2,28 @@
 
 Everything runs as DataFrame expressions.  Two multinomials over hashed n-grams
 are counted over all documents: one of the trusted target (documents whose label
-says good), one of the whole raw corpus.  The n-grams are single words and pairs
-of neighbouring word shapes (capitals ``A``, other letters ``a``, digits ``0``,
-other characters as they are), so that both vocabulary and layout count.  A
-document's score is its mean log ratio of target to raw probability over all its
-n-grams; it is kept if no base rule fails and the score reaches a fixed threshold.
+says good), one of the whole raw corpus.  The n-grams are tokens, which are runs of
+letters and digits or runs of other characters, and pairs of neighbouring tokens; each
+kind has ``buckets`` hash buckets.  A document's score is its mean log ratio of target
+to raw probability over all its n-grams; it is kept if no base rule fails and the score
+reaches a fixed threshold.
 
 What goes to the driver are two counts for each of ``2 * buckets`` hash buckets,
 however large the corpus.  Counting combines on the map side, so a frequent word
 is one partial count in each task.
 
+Hashes: n-grams share buckets by design, and the three-word windows of
+``n_repeat_words`` are compared by 64-bit hashes of their words' hashes, inside one
+document; equal hashes count as equal windows.
+
 Defined cases: a null text has no words; a text without words fails the base
-rule (fewer than 50 words) and has score 0; with no trusted document at all the
-ratio says nothing, every score is 0 and base rules alone decide; repeated rows
-count and are judged each on its own.
+rule (fewer than 50 words), and one without tokens has score 0; with no trusted
+document at all the ratio says nothing, every score is 0 and base rules alone decide;
+repeated rows count and are judged each on its own, and so are rows without doc_id,
+which are never trusted; a doc_id with several labels is trusted if one says good; an
+empty table gives no rows; a very long text is one row of arrays of its own size and is
+never cut; a score equal to the threshold keeps the document; columns of any other name
+in ``docs`` are ignored unless ``keep`` names them, and then come out as ``kept_<name>``.
 """
 
 from __future__ import annotations
@@ -28,34 +36,39 @@ from pyspark.sql import functions as F
 
 from .common import texts
 
-BUCKETS = 4096
-THRESHOLD = -0.35
+BUCKETS = 8192
+THRESHOLD = -0.15
 SMOOTHING = 1.0
 #: Up to so many trusted ids are sent to every executor; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
 BLANK = r"[\x20\x09-\x0D]+"
+#: Tokens of the likelihood ratio: runs of letters and digits, runs of anything else but white space.
+TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 
 
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANK), "")
 
 
-def _shape(text: Column) -> Column:
-    capitals = F.regexp_replace(text, r"\p{Lu}+", "A")
-    letters = F.regexp_replace(capitals, r"[\p{L}&&[^A]]+", "a")
-    return F.regexp_replace(letters, r"\p{Nd}+", "0")
+def _hashes(items: Column) -> Column:
+    return F.transform(items, lambda x: F.xxhash64(x))
+
+
+def _tokens(text: Column) -> Column:
+    """Hashes of a text's tokens in order."""
+    return _hashes(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
 
 
-def _grams(words: Column, shapes: Column, buckets: int) -> Column:
-    """Bucket numbers of all n-grams: words below ``buckets``, pairs of shapes from there on."""
-    single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
+def _grams(tokens: Column, buckets: int) -> Column:
+    """Bucket numbers of all n-grams: tokens below ``buckets``, pairs of tokens from there on."""
+    single = F.transform(tokens, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    behind = F.greatest(F.size(tokens) - 1, F.lit(0))
     pairs = F.zip_with(
-        F.slice(shapes, 1, F.greatest(F.size(shapes) - 1, F.lit(0))),
-        F.slice(shapes, 2, F.greatest(F.size(shapes) - 1, F.lit(0))),
+        F.slice(tokens, 1, behind), F.slice(tokens, 2, behind),
         lambda a, b: (F.pmod(F.xxhash64(a, b), F.lit(buckets)) + buckets).cast("int"),
     )
-    return F.concat(single, F.when(F.size(shapes) > 1, pairs).otherwise(F.array().cast("array<int>")))
+    return F.concat(single, F.when(F.size(tokens) > 1, pairs).otherwise(F.array().cast("array<int>")))
 
 
 def gram_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[float]:
@@ -65,11 +78,10 @@ def gram_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) ->
         trusted = F.broadcast(trusted)
     base = texts(docs)
     flagged = base.join(trusted, base["doc_id"] == trusted["good_id"], "left").select(
-        F.col("good_id").isNotNull().alias("good"), _words(F.col("text")).alias("words"),
-        _words(_shape(F.col("text"))).alias("shapes"),
-    )
+        F.col("good_id").isNotNull().alias("good"), _tokens(F.col("text")).alias("tokens")
+    )
     counted = (
-        flagged.select("good", F.explode(_grams(F.col("words"), F.col("shapes"), buckets)).alias("gram"))
+        flagged.select("good", F.explode(_grams(F.col("tokens"), buckets)).alias("gram"))
         .groupBy("gram")
         .agg(F.count("*").alias("raw"), F.count_if("good").alias("target"))
         .collect()
@@ -88,14 +100,14 @@ def gram_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) ->
 
 
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
-    """The base statistics of every document, its words and shapes besides."""
-    base = docs.withColumns({"words": _words(F.col("text")), "shapes": _words(_shape(F.col("text")))})
-    base = base.withColumn("n_words", F.size("words").cast("long"))
+    """The base statistics of every document, its tokens besides."""
+    base = docs.withColumns({"words": _words(F.col("text")), "tokens": _tokens(F.col("text"))})
+    base = base.withColumns({"n_words": F.size("words").cast("long"), "hashes": _hashes(F.col("words"))})
     windows = F.when(
         F.col("n_words") >= 3,
         F.transform(
             F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int")),
-            lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)),
+            lambda i: F.xxhash64(F.get("hashes", i), F.get("hashes", i + 1), F.get("hashes", i + 2)),
         ),
     ).otherwise(F.array().cast("array<bigint>"))
     base = base.withColumn("windows", windows)
@@ -123,7 +135,7 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     base = base.withColumn("lines", lines)
     return base.select(
-        *keep, "doc_id", "n_words", "words", "shapes",
+        *keep, "doc_id", "n_words", "tokens",
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -147,7 +159,7 @@ def judge_with(docs: DataFrame, weights: list[float], threshold: float, keep: tu
         F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"),
     )
     stats = statistics(clean, *[f"kept_{c}" for c in keep])
-    stats = stats.withColumn("grams", _grams(F.col("words"), F.col("shapes"), len(weights) // 2)).drop("words", "shapes")
+    stats = stats.withColumn("grams", _grams(F.col("tokens"), len(weights) // 2)).drop("tokens")
     total = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get(table, g))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = (

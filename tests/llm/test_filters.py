@@ -2,11 +2,14 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from loamstone.llm import decontamination, licenses, quality_classifier, quality_rules, secrets, sharding
@@ -102,15 +105,46 @@ def test_quality_verdicts(spark, data):
     assert bad.filter("kept").count() <= 0.05 * bad.count()
 
 
-def test_quality_score_by_hand(spark):
-    weights = [0.0] * 8
-    for n in range(4):
-        weights[n], weights[4 + n] = n / 10, -n / 10
-    docs = make(spark, [(1, "Aa b 7")])
-    row = quality_rules.judge_with(docs, weights, -1.0).first()
-    frame = spark.range(1).select(*[F.pmod(F.xxhash64(*map(F.lit, x)), F.lit(4)).alias(f"c{k}") for k, x in enumerate([["Aa"], ["b"], ["7"], ["Aa", "a"], ["a", "0"]])])
-    c = list(frame.first())
-    assert row["score"] == pytest.approx((sum(c[:3]) - sum(c[3:])) / 10 / 5, abs=1e-6)
+def hashed(raw, seed=42):
+    """Spark's xxhash64, as a signed number."""
+    return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64(raw, seed=seed % 2**64).intdigest()))[0]
+
+
+def grams(text, buckets):
+    """Brute force: buckets of tokens, then of pairs of tokens."""
+    h = [hashed(x.encode()) for x in regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\x0b\f\r]+", text or "")]
+    pairs = [hashed(struct.pack("<q", b), hashed(struct.pack("<q", a))) for a, b in zip(h, h[1:], strict=False)]
+    return [x % buckets for x in h] + [buckets + x % buckets for x in pairs]
+
+
+def likelihood(rows, good, buckets):
+    """Brute force of the score: mean log ratio of smoothed multinomials."""
+    found = [grams(t, buckets) for _, t in rows]
+    raw, target = np.zeros(2 * buckets), np.zeros(2 * buckets)
+    for (i, _), g in zip(rows, found, strict=True):
+        np.add.at(raw, g, 1)
+        if i in good:
+            np.add.at(target, g, 1)
+    weights = np.zeros(2 * buckets)
+    for part in (slice(0, buckets), slice(buckets, None)):
+        if target[part].sum():
+            weights[part] = np.log((target[part] + 1) / (target[part].sum() + buckets) / ((raw[part] + 1) / (raw[part].sum() + buckets)))
+    return [float(weights[g].mean()) if g else 0.0 for g in found]
+
+
+@pytest.mark.parametrize("buckets", [16, quality_rules.BUCKETS])
+def test_quality_scores_against_brute_force(spark, odd, docs, data, buckets):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    good = {r["doc_id"] for r in labels.filter("quality = 1").collect()}
+    for table in (odd, docs):
+        rows = texts_of(table)
+        want = sorted(zip([i for i, _ in rows], [quality(t)[-1] for _, t in rows], likelihood(rows, good, buckets), strict=True), key=KEY)
+        got = rows_of(quality_rules.judge(table, labels, -0.05, buckets).select("doc_id", "base_failed", "score", "kept"))
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+        for i in {r[0] for r in want}:
+            a, b = (sorted(r[2] for r in x if r[0] == i) for x in (got, want))
+            assert a == pytest.approx(b, abs=2e-6)
+        assert all(kept == (not failed and score >= -0.05) for _, failed, score, kept in got)
 
 
 def test_accepted_rows_carry_their_columns(spark, docs, data):
