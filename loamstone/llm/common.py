@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker looks at together.
@@ -49,42 +47,78 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     )
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
+def mark(text: Column) -> Column:
+    """What tells rows of one doc_id apart: a 64-bit hash of the text, a null text counting as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    On one machine the system's folder for temporary files will do where the setting is
+    missing; on a cluster nothing else is shared, so the setting must be there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="loamstone-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/loamstone/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
 
 
-def clean_scratch(spark: SparkSession) -> bool:
-    """Deletes what operators have left in the shared folder; only once no result that reads it is in use."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        return False
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/loamstone")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _own_folder(spark: SparkSession):
+    """This application's part of the shared folder, as Hadoop's file system and path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/loamstone/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: the lineage ends here."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in this application's own part of the shared folder, which goes when the application ends."""
+    files, path = _own_folder(spark)
+    if files.mkdirs(path):
+        files.deleteOnExit(path)
+    return f"{path.toString()}/{name}-{uuid.uuid4().hex}"
+
 
+def clean_scratch(spark: SparkSession) -> bool:
+    """Deletes what this application's operators have left in the shared folder, and nobody else's; only once no
+    result that reads it is in use."""
+    files, path = _own_folder(spark)
+    return files.delete(path, True)
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for as long as one write takes; then they are what they were."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def save(df: DataFrame, path: str, codec: str = "zstd") -> None:
+    """Writes ``df``; batches on their way to Python are small, and shuffle files go when it is done."""
+    with settings(df.sparkSession, **{
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+    }):
+        df.write.option("compression", codec).parquet(path)
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are out of use.
 
-    Python's references go first, then the driver's; what one collection finds out of use
-    is cleaned behind its back, and may hold the last reference to something else.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: the lineage ends here."""
+    path = scratch(df.sparkSession, name)
+    save(df, path, codec)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -117,13 +151,12 @@ def tame_malloc() -> None:
 def map_arrow(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """``mapInArrow`` over batches of bounded bytes, in workers that give memory back."""
+    """``mapInArrow`` in workers that give memory back."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tame_malloc()
         yield from fn(batches)
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(work, schema)
 
 

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, materialise, texts
+from .common import NON_WORD, mark, materialise, texts
 
 WINDOW = 13
 #: Rows that may be broadcast: about 32 MB of terms or ids.
@@ -50,7 +50,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 @dataclass
 class PositionalIndex:
-    """postings(rid, pos, term) and lengths(rid, doc_id, n_words), both on disk."""
+    """postings(rid, pos, term) and lengths(rid, doc_id, mark, n_words), both on disk."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -58,24 +58,25 @@ class PositionalIndex:
 
 def build_index(docs: DataFrame, vocabulary: DataFrame) -> PositionalIndex:
     """Postings of all places in ``docs`` where a word of ``vocabulary(word)`` stands."""
-    base = texts(docs).withColumn("rid", F.monotonically_increasing_id())
+    base = texts(docs).withColumns({"rid": F.monotonically_increasing_id(), "mark": mark(F.col("text"))})
     # one extra place behind the last word carries the length, so one pass yields both parts
-    ended = base.select("rid", "doc_id", F.concat(tokens(F.col("text")), F.array(F.lit(None).cast("string"))).alias("w"))
-    placed = ended.select("rid", "doc_id", F.posexplode("w").alias("pos", "word"))
+    ended = base.select("rid", "doc_id", "mark", F.concat(tokens(F.col("text")), F.array(F.lit(None).cast("string"))).alias("w"))
+    placed = ended.select("rid", "doc_id", "mark", F.posexplode("w").alias("pos", "word"))
     terms = small(vocabulary.select(F.col("word").alias("v_word"), F.xxhash64("word").alias("term")).distinct())
     rows = placed.join(terms, placed["word"] == terms["v_word"], "left").filter(
         F.col("term").isNotNull() | F.col("word").isNull()
     )
     stored = materialise(
         rows.select(
-            F.when(F.col("word").isNull(), F.col("doc_id")).alias("doc_id"), "rid", "pos", "term",
+            F.when(F.col("word").isNull(), F.col("doc_id")).alias("doc_id"),
+            F.when(F.col("word").isNull(), F.col("mark")).alias("mark"), "rid", "pos", "term",
             F.col("word").isNull().alias("is_end"),
         ).sortWithinPartitions("term", "rid", "pos"),
         "postings",
     )
     return PositionalIndex(
         stored.filter(~F.col("is_end")).select("rid", "pos", "term"),
-        stored.filter("is_end").select("rid", "doc_id", F.col("pos").cast("long").alias("n_words")),
+        stored.filter("is_end").select("rid", "doc_id", "mark", F.col("pos").cast("long").alias("n_words")),
     )
 
 
@@ -170,6 +171,11 @@ def proximity_matches(index: PositionalIndex, windows: DataFrame, span: int, ter
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
+    return marked_contamination(docs, items, window).drop("mark")
+
+
+def marked_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """:func:`contamination` with ``mark``, which tells rows of one doc_id apart by text."""
     asked = materialise(benchmark_terms(items), "benchmark-terms")
     index = build_index(docs, asked.select("word"))
     windows = materialise(ranked_windows(asked, index, window), "windows")
@@ -190,7 +196,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     items_text = F.coalesce(F.array_join("items", ","), F.lit(""))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0))
     return index.lengths.join(hits, "rid", "left").select(
-        "doc_id", "n_words", n_hit.cast("long").alias("n_hit"),
+        "doc_id", "mark", "n_words", n_hit.cast("long").alias("n_hit"),
         F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.sha2(items_text.cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),

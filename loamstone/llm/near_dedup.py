@@ -19,10 +19,18 @@ more of the hub's shingles than each has, and no shingle that no other candidate
 That spares almost all of these comparisons, and no link that could join two components
 goes untested.
 
+A hub with very many partners is compared by several tasks: its partners are dealt
+over parts of ``PART`` pairs, and its set, or its row, goes to each part.
+
 Defined cases: null and empty texts have no shingles and are linked with nothing;
 texts of one or two words have one shingle; rows that repeat a doc_id are judged
 by their own texts; a row without doc_id is linked as others are, but never the
-smallest id of a component that has one.
+smallest id of a component that has one; of equal smallest ids all rows are kept; a pair
+exactly at the threshold is linked; an empty table gives no rows; a text of any length is
+hashed whole, in one task; other columns of ``docs``, whatever their names, are ignored.
+
+Shingles are 64-bit hashes of 64-bit word hashes, so "full sets" are sets of hashes; two
+different shingles of a pair are taken for one with a probability of about 2**-64.
 """
 
 from __future__ import annotations
@@ -32,10 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_arrow, materialise, release, texts
+from .common import chunks, map_arrow, mark, materialise, texts
 from .decontamination import small
 from .graph import components
 
@@ -45,6 +53,8 @@ ROWS = 4
 #: A pair is linked from this percentage of common shingles on.
 PERCENT = 85
 LAST = (1 << 63) - 1
+#: Pairs of one hub that one task compares.
+PART = 2000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = np.zeros(256, bool)
@@ -59,33 +69,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand."""
+#: Places in a word whose byte hashes are looked up; those further on are computed.
+_HEAD = 32
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            inverse = pow(_BASE, -1, 1 << 64)
-            self.up, self.down = (np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]).cumprod(dtype=np.uint64) for b in (_BASE, inverse))
-        return self.up[:n], self.down[:n]
+def _byte_hash(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """A random-looking number for each byte value at each place of a word."""
+    with np.errstate(over="ignore"):
+        return mix(mix(place.astype(np.uint64) * np.uint64(_BASE) + np.uint64(0x9E6C63D0876A9A47)) + byte.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-_powers = _Powers()
+_TABLE = _byte_hash(np.repeat(np.arange(_HEAD), 256), np.tile(np.arange(256), _HEAD))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash of each word: the sum of its bytes' numbers, each drawn for its own place.
+
+    Two different words differ in one place at least, and the sum is as good as random
+    there; unlike a polynomial in one base, no pattern of letters cancels out.
+    """
+    kind = np.int32 if len(data) < 1 << 30 else np.int64
+    sizes = (ends - starts).astype(kind)
+    total = np.zeros(len(data) + 1, np.uint64)
+    if len(starts):
+        inside = np.arange(sizes.sum(), dtype=kind) - np.repeat(np.cumsum(sizes, dtype=kind) - sizes, sizes)
+        at = np.repeat(starts.astype(kind), sizes) + inside
+        byte = data[at]
+        numbers = _TABLE[(np.minimum(inside, _HEAD - 1) << 8) | byte]
+        far = np.flatnonzero(inside >= _HEAD)
+        numbers[far] = _byte_hash(inside[far], byte[far])
+        total[at + 1] = numbers
+    total = np.cumsum(total, dtype=np.uint64)
+    return mix(total[ends] - total[starts] + sizes.astype(np.uint64))
 
 
 def shingle_sets(batch: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text, given as UTF-8."""
+    """The sorted distinct 64-bit shingle hashes of each text, given as UTF-8."""
     joined = b"\n".join(batch).translate(_LOWER) + b"\n"
     data = np.frombuffer(joined, np.uint8)
-    up, down = _powers.get(len(data) + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
     blank = _BLANK[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank]).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    words = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    words = word_hashes(data, starts, ends)
     sizes = np.array([len(b) + 1 for b in batch], np.int64)
     limits = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
     factors = [np.uint64(pow(0xD6E8FEB86659FD93, i + 1, 1 << 64)) for i in range(shingle)]
@@ -165,11 +190,11 @@ def _sign(shingle: int, bands: int, rows: int):
             flat = keys[[len(s) > 0 for s in sets]].ravel()
             yield pa.record_batch(
                 [
-                    batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_digest(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "digest", "bands"],
+                names=["doc_id", "mark", "n_shingles", "digest", "bands"],
             )
 
     return work
@@ -191,6 +216,24 @@ def _full_sets(shingle: int):
     return work
 
 
+def hot_keys(rows: DataFrame, key: str, per: int) -> DataFrame:
+    """(key, parts) of keys with more than ``per`` rows: in how many parts to deal them."""
+    counted = rows.groupBy(key).agg(F.count("*").alias("rows")).filter(F.col("rows") > per)
+    return materialise(counted.select(key, F.ceil(F.col("rows") / per).cast("int").alias("parts")), "hot")
+
+
+def dealt(rows: DataFrame, hot: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` with ``part``: rows of a hot key are dealt over its parts by the hash of ``by``, others have part 0."""
+    found = rows.join(small(hot), key, "left")
+    return found.withColumn("part", F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+
+
+def in_each_part(rows: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``part``: rows of a hot key once for each of its parts."""
+    found = rows.join(small(hot), key, "left")
+    return found.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")
+
+
 class NearDuplicates:
     """The stages of one run; :meth:`groups` is the result."""
 
@@ -198,7 +241,8 @@ class NearDuplicates:
         self.percent, self.shingle = percent, shingle
         self.docs = texts(docs)
         self.signed = materialise(map_arrow(
-            self.docs, _sign(shingle, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<bigint>"
+            self.docs.withColumn("mark", mark(F.col("text"))), _sign(shingle, bands, rows),
+            "doc_id long, mark long, n_shingles long, digest binary, bands array<bigint>",
         ), "signatures")
 
     def nodes(self) -> DataFrame:
@@ -219,15 +263,16 @@ class NearDuplicates:
         """``pairs(a, b)`` with the size of their intersection and whether they are linked, by full sets."""
         left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-        both = pairs.join(left, "a").join(right, "b")
+        hot = hot_keys(pairs, "a", PART)
+        if not hot.isEmpty():
+            pairs, left = dealt(pairs, hot, "a", "b"), in_each_part(left, hot, "a")
+        both = pairs.join(left, [c for c in ("a", "part") if c in pairs.columns]).join(right, "b")
         counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
         linked = 100 * F.col("common") >= self.percent * (F.col("total") - F.col("common"))
-        found = materialise(counted.select("a", "b", "common", linked.alias("linked")).distinct(), "measured")
-        release(self.docs.sparkSession)
-        return found
+        return materialise(counted.select("a", "b", "common", linked.alias("linked")).distinct(), "measured")
 
     def groups(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id, kept) of every document."""
+        """(doc_id, n_shingles, component_id, kept, mark, group) of every document."""
         nodes = self.nodes()
         members = nodes.select("node", "n", F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), "node").alias("by"), F.explode("bands").alias("key"))
         # a group's lowest id is what the others were mostly copied from, and so in its middle
@@ -244,7 +289,6 @@ class NearDuplicates:
         lonely = alone.groupBy("node").agg(F.count("*").alias("alone"))
         sizes = sets.select("node", F.size("items").alias("n")).distinct().join(lonely, "node", "left")
         sizes = materialise(sizes.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m")), "sizes")
-        release(self.docs.sparkSession)
 
         pairs = shared.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
         around = self.measured(materialise(pairs, "pairs"), sets)
@@ -262,12 +306,16 @@ class NearDuplicates:
         side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "m", "common", "label", "outside")]
         left = named.filter("outside").select("hub", *side("a"))
         right = named.join(left.select("hub").distinct(), "hub", "left_semi").select("hub", *side("b"))
+        on = ["hub"]
+        hot = hot_keys(left, "hub", max(1, PART // 8))
+        if not hot.isEmpty():
+            left, right, on = dealt(left, hot, "hub", "a_node"), in_each_part(right, hot, "hub"), ["hub", "part"]
         # what both can share: of the hub's items, and of items that the hub lacks but others have
         most = F.least(
             F.col("a_m"), F.col("b_m"),
             F.least("a_common", "b_common") + F.least(F.col("a_m") - F.col("a_common"), F.col("b_m") - F.col("b_common")),
         )
-        met = left.join(right, "hub").filter(
+        met = left.join(right, on).filter(
             (F.col("a_label") != F.col("b_label")) & (~F.col("b_outside") | (F.col("a_node") < F.col("b_node")))
             & (100 * most >= self.percent * (F.col("a_n") + F.col("b_n") - most))
         )
@@ -277,14 +325,27 @@ class NearDuplicates:
             labels = components(links)
         placed = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"), "id")
         lowest = materialise(placed.groupBy("label").agg(F.min("id").alias("component")), "components")
-        named = materialise(placed.join(lowest, "label").select("digest", "component"), "classes")
-        found = self.signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+        named = materialise(placed.join(lowest, "label").select("digest", "component", "label"), "classes")
+        found = self.signed.select("doc_id", "mark", "n_shingles", "digest").join(named, "digest", "left")
         component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-        return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+        return found.select("doc_id", "n_shingles", component.alias("component_id"), "mark", F.col("label").alias("group")).withColumn(
             "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
         )
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; see the module for the rules."""
+    return near_groups(docs, percent, shingle, bands, rows).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """:func:`near_duplicates` with ``mark``, which tells rows of one doc_id apart by text, and ``group``, the
+    component's own number; a text without words has none."""
     return NearDuplicates(docs, percent, shingle, bands, rows).groups()
+
+
+def survivors(found: DataFrame) -> DataFrame:
+    """(kept_id, kept_mark): of ``near_groups`` one row of each group, and every row that has none."""
+    own = found.filter("kept").select(F.struct(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark")).alias("row"), "group")
+    grouped = own.filter("group is not null").groupBy("group").agg(F.min("row").alias("row")).select("row.*")
+    return grouped.unionByName(own.filter("group is null").select("row.*").distinct())

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, input_bytes, map_arrow, materialise, release, texts
+from .common import chunks, input_bytes, map_arrow, materialise, texts
 from .near_dedup import mix
 
 LENGTH = 50
@@ -443,7 +443,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def covered_ranges(docs: DataFrame, length: int = LENGTH, passes: int = PASSES) -> DataFrame:
     """(id, mark, a, b): byte ranges of each text that a smaller doc_id covers; (id, mark) names a row's text."""
-    spark = docs.sparkSession
     total = input_bytes(docs)
     buckets = max(512, -(-4 * total // (BUCKET_BYTES * passes)))
     keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("mark"), "text")
@@ -452,8 +451,6 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, passes: int = PASSES)
         dealt = map_arrow(keyed, _deal(length, buckets, passes, turn), "bucket int, body binary")
         dealt = dealt.repartition(max(64, buckets // 4), "bucket").sortWithinPartitions("bucket")
         found = materialise(map_arrow(dealt, _settle(length), "id long, mark long, a int, b int"), "ranges")
-        del dealt
-        release(spark)
         out = found if out is None else out.unionByName(found)
     return out
 

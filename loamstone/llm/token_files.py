@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, input_bytes, map_arrow, scratch, texts
+from .common import chunks, input_bytes, map_arrow, save, scratch, texts
 
 MAGIC = b"LSEF"
 SEGMENT_IDS = 1 << 20
@@ -271,7 +271,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, path: str
             yield flush()
 
     path = path or scratch(spark, "tokens")
-    map_arrow(ordered, work, SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
+    save(map_arrow(ordered, work, SEGMENT_SCHEMA), path)
     return path
 
 

@@ -139,6 +139,32 @@ def test_chains_of_copies(spark):
     assert near_rows(near_dedup.near_duplicates(make(spark, rows))) == components_of(rows)
 
 
+def test_words_of_two_letters(spark):
+    """Patterns of letters that cancel out in polynomials over 2**64."""
+    a = "a"
+    for _ in range(12):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"x y {a}"), (2, f"x y {b}"), (3, f"{a} {b} {a} {b} {b} {a}"), (4, f"{b} {a} {b} {a} {a} {b}")]
+    assert near_rows(near_dedup.near_duplicates(make(spark, rows))) == components_of(rows)
+    words = np.unique(near_dedup.shingle_sets([" ".join(format(n, "b").replace("0", "a").replace("1", "b") for n in range(1, 1 << 14)).encode()], 1)[0])
+    assert len(words) == (1 << 14) - 1
+
+
+def test_hubs_in_parts(spark, monkeypatch):
+    """A hub with many partners is compared by several tasks, with the same result."""
+    monkeypatch.setattr(near_dedup, "PART", 8)
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(words))]
+    for n in range(1, 60):
+        own = list(words)
+        for _ in range(rng.choice([1, 4, 8])):
+            own[rng.randrange(150)] = f"v{rng.randrange(30)}"
+        rows.append((n, " ".join(own)))
+    assert near_rows(near_dedup.near_duplicates(make(spark, rows))) == components_of(rows)
+
+
 def test_super_minhash_by_definition():
     """Level by level gives what one shingle at a time gives."""
     sets = [np.unique(np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 2, 5, 40, 300)]
