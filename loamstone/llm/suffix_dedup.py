@@ -11,25 +11,32 @@ dealt out by content first:
 2. Contexts go to the bucket of their anchor's hash, compressed; of equal contexts in
    one block of texts only that of the smallest doc_id travels, because the others are
    covered by it whatever else exists.  So a passage in a third of all documents is a
-   row for each block, not for each document.
+   row for each block, not for each document; the ranges that are covered already are
+   merged and dealt round about, to no bucket of theirs.  Above ``FAN_IN`` blocks, tasks
+   that each take the rows of so many blocks condense them alike before buckets are formed.
 3. In a bucket, anchors that one document alone has are dropped.  The distinct contexts
    left are cut into shards; each shard gets a suffix array by Larsson-Sadakane
    refinement (groups of equal prefixes are split by the ranks of the suffixes behind
    them, doubling the compared length, settled groups are left alone) and common
-   prefixes of neighbours; suffixes that share ``length`` bytes are one string with its
-   smallest doc_id.  Shards of a bucket are merged by binary search in their sorted strings.
+   prefixes of neighbours by Kasai's rule; suffixes that share ``length`` bytes are one
+   string with its smallest doc_id.  Shards are merged by binary search in their sorted
+   strings; as equal windows share a bucket, no string has to be looked for elsewhere.
 4. The covered ranges go back to their documents, which are cut and digested.
 
 The work is done in ``passes`` over the input, each for its share of the anchors, so
 that only that share of the contexts is in shuffle files at a time.
 
-Common prefixes: :func:`kasai` is Kasai's algorithm in text order.  Inside a bucket
-only whether a prefix reaches ``length`` matters, so :func:`capped_prefixes` compares
-neighbours eight bytes at a time up to that cap, for all suffixes at once.
+Common prefixes: :func:`kasai` goes through all contexts in text order side by side: the
+prefix that a window shares with its neighbour in the suffix array is at most one byte
+longer than what the next window shares with its own, so comparing goes on where it stopped.
 
 Defined cases: null and empty texts have 0 bytes, and texts shorter than ``length``
 lose nothing; documents with equal doc_id never cover each other; a null doc_id counts
-as the largest one; a byte string is judged on the input, not on what is left.
+as the largest one; a byte string is judged on the input, not on what is left; rows that
+repeat a doc_id and a text are judged alike; an empty table gives no rows; a text is cut
+whole by one task, whatever its length; other columns of ``docs``, whatever their names,
+are ignored.  Rows of one doc_id are told apart by a 64-bit hash of the text, and contexts
+are grouped by 128-bit fingerprints: equal hashes are taken for equal.
 """
 
 from __future__ import annotations
@@ -40,10 +47,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, input_bytes, map_arrow, materialise, texts
+from .common import chunks, input_bytes, map_arrow, mark, materialise, texts
 from .near_dedup import mix
 
 LENGTH = 50
@@ -55,6 +63,8 @@ BUCKET_BYTES = 4 << 20
 #: Bytes of distinct contexts under one suffix array.
 SHARD_BYTES = 2 << 20
 PASSES = 2
+#: Blocks whose rows of a bucket one task holds together.
+FAN_IN = 4096
 LAST = (1 << 63) - 1
 
 _CODEC = "zstd"
@@ -109,34 +119,43 @@ def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, rank[:n]
 
 
-def kasai(data: bytes, order: np.ndarray) -> np.ndarray:
-    """Kasai's algorithm: common prefix of each suffix in ``order`` with the one before it."""
-    n = len(data)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    out = np.zeros(n, np.int64)
-    held = 0
-    for i in range(n):
-        if place[i] == 0:
-            held = 0
-            continue
-        j = int(order[place[i] - 1])
-        while i + held < n and j + held < n and data[i + held] == data[j + held]:
-            held += 1
-        out[place[i]] = held
-        held = max(0, held - 1)
-    return out
+def kasai(data: np.ndarray, starts: np.ndarray, before: np.ndarray, cap: int) -> np.ndarray:
+    """Common prefix, up to ``cap``, of the window at each of ``starts`` with the one at ``before``, its
+    neighbour in sorted order (-1 for none).
 
-
-def capped_prefixes(data: np.ndarray, left: np.ndarray, right: np.ndarray, cap: int) -> np.ndarray:
-    """Whether the ``cap`` bytes from each ``left`` place on equal those from ``right`` on."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = words_at(padded, len(data))
-    same = np.ones(len(left), bool)
-    for at in [*range(0, cap - 8, 8), cap - 8]:
-        live = np.flatnonzero(same)
-        same[live] = word[left[live] + at] == word[right[live] + at]
-    return same
+    Kasai's rule, for all runs of neighbouring windows at once: if the windows at i and
+    j = before(i) share h bytes, the one at i + 1 shares h - 1 at least with its own neighbour,
+    if that is the one at j + 1, or if h < cap, so that j + 1 is sorted before i + 1 too.
+    """
+    out = np.zeros(len(starts), np.int64)
+    if not len(starts):
+        return out
+    word = words_at(np.concatenate([data, np.zeros(cap + 8, np.uint8)]), len(data) + cap)
+    is_window = np.zeros(len(data) + 2, bool)
+    is_window[starts] = True
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(starts) != 1]))
+    sizes = np.diff(np.append(heads, len(starts)))
+    by_size = np.argsort(-sizes, kind="stable")
+    heads, sizes = heads[by_size], sizes[by_size]
+    known = np.zeros(len(heads), np.int64)
+    for step in range(int(sizes[0])):
+        live = int(np.searchsorted(-sizes, -step, side="left"))  # runs that are longer than step
+        row = heads[:live] + step
+        i, j, h = starts[row], before[row], known[:live]
+        open_rows = np.flatnonzero((j >= 0) & (h < cap))
+        while len(open_rows):
+            at = h[open_rows]
+            apart = word[i[open_rows] + at] ^ word[j[open_rows] + at]
+            differ = apart != 0
+            lowest = np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)) >> 3  # equal bytes in front
+            at = np.minimum(at + np.where(differ, lowest, 8), cap)
+            h[open_rows] = at
+            open_rows = open_rows[~differ & (at < cap)]
+        out[row] = h
+        behind = before[np.minimum(row + 1, len(before) - 1)]
+        carries = (j >= 0) & ((behind == j + 1) | ((h < cap) & is_window[j + 1]))
+        known[:live] = np.where(carries, np.maximum(h - 1, 0), 0)
+    return out
 
 
 class Strings:
@@ -165,10 +184,11 @@ def window_lows(contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], lengt
         order, _ = suffix_ranks(data, length)
         wanted = np.full(len(data), -1, np.int64)
         wanted[starts] = np.arange(len(starts))
-        picked = order[wanted[order] >= 0]
-        same = np.concatenate([[False], capped_prefixes(data, picked[:-1], picked[1:], length)])[: len(picked)]
-        heads = np.flatnonzero(~same)
+        picked = order[wanted[order] >= 0].astype(np.int64)
         own = wanted[picked]
+        before = np.empty(len(starts), np.int64)
+        before[own] = np.concatenate([[-1], picked])[: len(picked)]
+        heads = np.flatnonzero(kasai(data, starts, before, length)[own] < length)
         low = np.minimum.reduceat(docs[own], heads) if len(heads) else np.empty(0, np.int64)
         text = None
         if len(contexts) > 1:
@@ -275,40 +295,63 @@ def unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-#: What a bucket's rows carry: doc_ids, text hashes, first windows, window counts, anchor
-#: offsets, bytes; then ranges that are covered whatever else there is.
-KINDS = ["<i8", "<i8", "<i4", "u1", "u1", "u1", "<i8", "<i8", "<i4", "<i4"]
+#: What a bucket's rows carry: doc_ids, text hashes, first windows, window counts, anchor offsets, bytes.
+KINDS = ["<i8", "<i8", "<i4", "u1", "u1", "u1"]
+#: Ranges that are covered whatever else there is: doc_ids, text hashes, from, to.
+DONE = ["<i8", "<i8", "<i4", "<i4"]
+DEALT = "bucket int, salt int, body binary"
+
+
+def condense(doc: np.ndarray, size: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that travel on, rows that are covered): of equal contexts those of the smallest doc_id travel."""
+    group, rep = lowest_of(fingerprints(grid, size), doc)
+    is_rep = np.zeros(len(doc), bool)
+    is_rep[rep] = True
+    covered = ~is_rep & (doc > doc[rep][group])
+    return np.flatnonzero(~covered), np.flatnonzero(covered)  # a document's own repeats are judged like its first
 
 
-def _deal(length: int, buckets: int, passes: int, turn: int):
-    """Blocks of texts to (bucket, contexts) rows."""
+def merged_ranges(doc: np.ndarray, mark: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges, with those of one text that follow and touch each other made one."""
+    if not len(doc):
+        return doc, mark, a, b
+    new = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (a[1:] > b[:-1]) | (a[1:] < a[:-1]) | (b[1:] < b[:-1])
+    head = np.flatnonzero(np.concatenate([[True], new]))
+    tail = np.append(head[1:], len(doc)) - 1
+    return doc[head], mark[head], a[head], b[tail]
+
+
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    buckets, salts, bodies = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.record_batch([pa.array(buckets, pa.int32()), pa.array(salts, pa.int32()), pa.array(bodies, pa.binary())], names=["bucket", "salt", "body"])
+
+
+def _deal(length: int, buckets: int, passes: int, turn: int, salts: int):
+    """Blocks of texts to (bucket, salt, contexts) rows; from ``buckets`` on, numbers stand for covered ranges."""
     width = width_of(length)
 
-    def flush(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def flush(parts: list[tuple], number: int) -> pa.RecordBatch:
         doc, mark, start, count, offset, hashes, grid = (np.concatenate(x) for x in zip(*parts, strict=True))
         size = count + length - 1
-        group, rep = lowest_of(fingerprints(grid, size), doc)
-        is_rep = np.zeros(len(doc), bool)
-        is_rep[rep] = True
-        covered = ~is_rep & (doc > doc[rep][group])
-        travels = is_rep | ~covered  # a document's own repeats are judged like its first
-        bucket = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        travels, covered = condense(doc, size, grid)
+        bucket = ((hashes[travels] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows: list[tuple[int, bytes]] = []
-        for b in range(buckets):
-            own = order[cuts[b] : cuts[b + 1]]
-            if not len(own):
-                continue
-            go, done = own[travels[own]], own[covered[own]]
+        rows: list[tuple[int, int, bytes]] = []
+        for b in np.flatnonzero(np.diff(cuts)):
+            go = travels[order[cuts[b] : cuts[b + 1]]]
             body = grid[go][np.arange(width) < size[go][:, None]]
-            rows.append((b, pack(
-                doc[go], mark[go], start[go].astype(np.int32), count[go].astype(np.uint8), offset[go].astype(np.uint8), body,
-                doc[done], mark[done], start[done].astype(np.int32), (start[done] + size[done]).astype(np.int32),
+            rows.append((int(b), number % salts, pack(
+                doc[go], mark[go], start[go].astype(np.int32), count[go].astype(np.uint8), offset[go].astype(np.uint8), body
             )))
-        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "body"])
+        if len(covered):
+            ranges = merged_ranges(doc[covered], mark[covered], start[covered].astype(np.int32), (start + size)[covered].astype(np.int32))
+            rows.append((buckets + number % buckets, number % salts, pack(*ranges)))
+        return _batch(rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) * 7919  # a number for each block, the same when a task runs again
         parts: list[tuple] = []
         held = 0
         for batch in chunks(batches, limit=256 << 10):
@@ -326,11 +369,58 @@ def _deal(length: int, buckets: int, passes: int, turn: int):
                 parts.append((doc, mark, first - limits[owner], count, place - first, hashes, grid))
                 held += len(data)
                 if held >= BLOCK_BYTES:
-                    yield from flush(parts)
-                    parts, held = [], 0
+                    yield flush(parts, number)
+                    parts, held, number = [], 0, number + 1
         if held:
             with np.errstate(over="ignore"):
-                yield from flush(parts)
+                yield flush(parts, number)
+
+    return work
+
+
+def contexts_of(bodies: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """(doc, mark, start, count, offset, grid) of all contexts in rows of a bucket."""
+    doc, mark, start, count, offset, body = (np.concatenate(x) for x in zip(*[unpack(b, KINDS) for b in bodies], strict=True))
+    width = width_of(length)
+    grid = np.zeros((len(doc), width), np.uint8)
+    grid[np.arange(width) < (count.astype(np.int64) + length - 1)[:, None]] = body
+    return doc, mark, start, count, offset, grid
+
+
+def runs_of_rows(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, list[bytes]]]:
+    """(key, bodies) of each run of rows with equal keys."""
+    current, bodies = None, []
+    for batch in batches:
+        names = zip(*[batch.column(k).to_pylist() for k in keys], strict=True)
+        for key, body in zip(names, batch.column("body"), strict=True):
+            if key != current and bodies:
+                yield current, bodies
+                bodies = []
+            current = key
+            bodies.append(body.as_py())
+    if bodies:
+        yield current, bodies
+
+
+def _condense(length: int, buckets: int):
+    """Rows sorted by (bucket, salt) to one row of contexts for each, and one of ranges that are covered now."""
+    width = width_of(length)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, salt), bodies in runs_of_rows(batches, "bucket", "salt"):
+            if bucket >= buckets:
+                yield _batch([(bucket, salt, b) for b in bodies])
+                continue
+            doc, mark, start, count, offset, grid = contexts_of(bodies, length)
+            size = count.astype(np.int64) + length - 1
+            with np.errstate(over="ignore"):
+                go, covered = condense(doc, size, grid)
+            body = grid[go][np.arange(width) < size[go][:, None]]
+            rows = [(bucket, salt, pack(doc[go], mark[go], start[go], count[go], offset[go], body))]
+            if len(covered):
+                a, b = start[covered], (start + size)[covered].astype(np.int32)
+                rows.append((buckets + (bucket + salt) % buckets, salt, pack(*merged_ranges(doc[covered], mark[covered], a, b))))
+            yield _batch(rows)
 
     return work
 
@@ -380,34 +470,23 @@ def judge_bucket(doc, start, count, offset, grid, length: int, shard_bytes: int
     return where, start[where] + inside[head], start[where] + inside[tail] + length
 
 
-def _settle(length: int):
+def _settle(length: int, buckets: int):
     """Bucket rows, sorted by bucket, to covered ranges."""
-    width = width_of(length)
 
-    def finish(bodies: list[bytes]) -> pa.RecordBatch:
-        parts = [unpack(b, KINDS) for b in bodies]
-        doc, mark, start, count, offset, body, d_doc, d_mark, d_from, d_to = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def ranges(bucket: int, bodies: list[bytes]) -> tuple[np.ndarray, ...]:
+        if bucket >= buckets:
+            return tuple(np.concatenate(x) for x in zip(*[unpack(b, DONE) for b in bodies], strict=True))
+        doc, mark, start, count, offset, grid = contexts_of(bodies, length)
         with np.errstate(over="ignore"):
-            size = count.astype(np.int64) + length - 1
-            grid = np.zeros((len(doc), width), np.uint8)
-            grid[np.arange(width) < size[:, None]] = body
-            row, a, b = judge_bucket(doc, start, count, offset, grid, length) if len(doc) else (np.empty(0, np.int64),) * 3
-        columns = [np.concatenate(x) for x in ((doc[row], d_doc), (mark[row], d_mark), (a, d_from), (b, d_to))]
-        return pa.record_batch(
-            [pa.array(c.astype(np.int64 if i < 2 else np.int32)) for i, c in enumerate(columns)], names=["id", "mark", "a", "b"]
-        )
+            row, a, b = judge_bucket(doc, start, count, offset, grid, length)
+        return doc[row], mark[row], a, b
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, bodies = None, []
-        for batch in batches:
-            for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body"), strict=True):
-                if bucket != current and bodies:
-                    yield finish(bodies)
-                    bodies = []
-                current = bucket
-                bodies.append(body.as_py())
-        if bodies:
-            yield finish(bodies)
+        for (bucket,), bodies in runs_of_rows(batches, "bucket"):
+            columns = ranges(bucket, bodies)
+            yield pa.record_batch(
+                [pa.array(c.astype(np.int64 if i < 2 else np.int32)) for i, c in enumerate(columns)], names=["id", "mark", "a", "b"]
+            )
 
     return work
 
@@ -445,12 +524,16 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, passes: int = PASSES)
     """(id, mark, a, b): byte ranges of each text that a smaller doc_id covers; (id, mark) names a row's text."""
     total = input_bytes(docs)
     buckets = max(512, -(-4 * total // (BUCKET_BYTES * passes)))
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("mark"), "text")
+    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), mark(F.col("text")).alias("mark"), "text")
     out: DataFrame | None = None
+    salts = -(-total // (BLOCK_BYTES * FAN_IN))
     for turn in range(passes):
-        dealt = map_arrow(keyed, _deal(length, buckets, passes, turn), "bucket int, body binary")
-        dealt = dealt.repartition(max(64, buckets // 4), "bucket").sortWithinPartitions("bucket")
-        found = materialise(map_arrow(dealt, _settle(length), "id long, mark long, a int, b int"), "ranges")
+        rows = map_arrow(keyed, _deal(length, buckets, passes, turn, max(1, salts)), DEALT)
+        if salts > 1:
+            rows = rows.repartition(max(64, buckets // 4), "bucket", "salt").sortWithinPartitions("bucket", "salt")
+            rows = map_arrow(rows, _condense(length, buckets), DEALT)
+        rows = rows.drop("salt").repartition(max(64, buckets // 4), "bucket").sortWithinPartitions("bucket")
+        found = materialise(map_arrow(rows, _settle(length, buckets), "id long, mark long, a int, b int"), "ranges")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -460,7 +543,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passes: int = PASSES)
     base = texts(docs)
     ranges = covered_ranges(base, length, passes)
     spans = ranges.groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    marked = base.withColumns({"key": F.coalesce("doc_id", F.lit(LAST)), "own": F.xxhash64("text")})
+    marked = base.withColumns({"key": F.coalesce("doc_id", F.lit(LAST)), "own": mark(F.col("text"))})
     joined = marked.join(spans, (marked["key"] == spans["id"]) & (marked["own"] == spans["mark"]), "left")
     return map_arrow(
         joined.select("doc_id", "text", "spans"), _cut,

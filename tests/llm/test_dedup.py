@@ -76,11 +76,49 @@ def test_suffix_array(raw):
     head = [raw[i : i + 50].ljust(50, b"\0") for i in order]
     assert head == sorted(head)
     assert all((rank[a] == rank[b]) == (x == y) for a, b, x, y in zip(order, order[1:], head, head[1:], strict=False) if len(raw) - max(a, b) >= 50)
-    full = np.array(sorted(range(len(raw)), key=lambda i: raw[i:]))
-    common = suffix_dedup.kasai(raw, full)
-    for n in range(1, len(full)):
-        a, b = raw[full[n - 1] :], raw[full[n] :]
-        assert common[n] == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(6, 30), st.integers(0, 2**60)), min_size=1, max_size=12), st.integers(2, 3))
+def test_kasai(contexts, letters):
+    """Prefixes that neighbouring windows share, by Kasai's rule and by comparing."""
+    cap, parts, starts, at = 5, [], [], 0
+    for size, seed in contexts:
+        parts.append(bytes(random.Random(seed % 9).choices(range(letters), k=size)))
+        starts += range(at, at + size - cap + 1)
+        at += size
+    raw = b"".join(parts)
+    starts = np.array(starts)
+    order = sorted(range(len(starts)), key=lambda k: (raw[starts[k] : starts[k] + cap], k % 3))
+    before = np.full(len(starts), -1)
+    before[order[1:]] = starts[order[:-1]]
+    got = suffix_dedup.kasai(np.frombuffer(raw, np.uint8), starts, before, cap)
+    for k, (i, j) in enumerate(zip(starts, before, strict=True)):
+        a, b = raw[i : i + cap], raw[j : j + cap]
+        assert got[k] == (0 if j < 0 else next((n for n in range(cap) if a[n] != b[n]), cap))
+
+
+def test_blocks_condensed_before_buckets(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "FAN_IN", 2)
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert suffix_rows(suffix_dedup.remove_repeats(docs)) == sorted(removed(rows, 50), key=KEY)
+
+
+def test_common_passage_makes_no_full_bucket():
+    """What a bucket holds does not grow with the documents that share a passage."""
+    import pyarrow as pa
+
+    passage = "A passage that a third of all documents share, word for word, and longer than fifty bytes."
+    held = []
+    for n in (600, 6000):
+        texts = [passage if k % 3 == 0 else f"{k} too short" for k in range(n)]
+        batch = pa.record_batch([pa.array(range(n), pa.int64()), pa.array(range(n), pa.int64()), pa.array(texts)], names=["id", "mark", "text"])
+        rows = [r for b in suffix_dedup._deal(50, 64, 1, 0, 1)(iter([batch])) for r in b.to_pylist()]
+        held.append(sorted(len(suffix_dedup.unpack(r["body"], suffix_dedup.KINDS)[0]) for r in rows if r["bucket"] < 64))
+        done = [suffix_dedup.unpack(r["body"], suffix_dedup.DONE) for r in rows if r["bucket"] >= 64]
+        assert sum(len(d[0]) for d in done) == n // 3 - 1  # one merged range for each copy
+    assert held[0] == held[1]
 
 
 LOW = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
