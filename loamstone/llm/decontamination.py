@@ -9,16 +9,21 @@ rarest term: that list, moved by the term's offset, gives candidate starts; the
 lists of the second and third rarest terms, moved alike, are intersected with
 them; what is left is checked against all its terms' lists.
 
-Joins are keyed by (document, place, term), so neither a passage that a third of
-all documents share nor a frequent word makes a hot key, and frequent words'
-lists are only read for documents that are still candidates.  The benchmark's
-vocabulary, and ids of surviving documents, are broadcast only up to a checked
-number of rows; beyond it the same joins shuffle.
+Lists are intersected by joins keyed by (document, place, term), so neither a passage
+that a third of all documents share nor a frequent word makes a hot key there, and
+frequent words' lists are only read for documents that are still candidates.  What the
+benchmark has (its vocabulary, its windows) is broadcast up to a checked number of rows;
+beyond it, :func:`lookup` deals the postings of each term over ``PARTS`` tasks and sends
+the benchmark's rows to each, so that a frequent term is no hot key either.
 
 Defined cases: null or empty texts have no words, no hits and are clean; rows
-that repeat a doc_id are judged each on its own; benchmark rows that repeat an
-item_id are one item; an item without an id hits words but is not listed; a
-benchmark without words leaves everything clean.
+that repeat a doc_id, or have none, are judged each on its own; benchmark rows that
+repeat an item_id are one item; an item without an id hits words but is not listed; a
+benchmark without words leaves everything clean; an empty table gives no rows; terms of
+equal frequency are ranked by their hash; a document with 20 times as many words as hits
+is contaminated; very long texts are cut into words whole, by one task each; other
+columns of ``docs``, whatever their names, are ignored.  Terms stand as 64-bit hashes in
+the index: two words of the benchmark's vocabulary with one hash would count as one.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ from .common import NON_WORD, mark, materialise, texts
 WINDOW = 13
 #: Rows that may be broadcast: about 32 MB of terms or ids.
 BROADCAST_ROWS = 500_000
+#: Tasks that share the rows of one key where the other side is too large to be broadcast.
+PARTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,9 +50,24 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(low, f"[{NON_WORD}]+"), "")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it is counted to be small enough, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def fits(df: DataFrame) -> bool:
+    """Whether ``df`` is counted to be small enough for broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it is small enough, else as it is."""
+    return F.broadcast(df) if fits(df) else df
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``: by broadcast if that is small enough; else rows of one key are dealt over
+    ``PARTS`` tasks by the hash of ``by``, and ``table`` goes to each of them."""
+    if fits(table):
+        return rows.join(F.broadcast(table), on, how)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(*by), F.lit(PARTS)).cast("int"))
+    copies = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return dealt.join(copies, [*on, "part"], how).drop("part")
 
 
 @dataclass
@@ -62,10 +84,8 @@ def build_index(docs: DataFrame, vocabulary: DataFrame) -> PositionalIndex:
     # one extra place behind the last word carries the length, so one pass yields both parts
     ended = base.select("rid", "doc_id", "mark", F.concat(tokens(F.col("text")), F.array(F.lit(None).cast("string"))).alias("w"))
     placed = ended.select("rid", "doc_id", "mark", F.posexplode("w").alias("pos", "word"))
-    terms = small(vocabulary.select(F.col("word").alias("v_word"), F.xxhash64("word").alias("term")).distinct())
-    rows = placed.join(terms, placed["word"] == terms["v_word"], "left").filter(
-        F.col("term").isNotNull() | F.col("word").isNull()
-    )
+    terms = vocabulary.select("word", F.xxhash64("word").alias("term")).distinct()
+    rows = lookup(placed, terms, ["word"], ["rid", "pos"], "left").filter(F.col("term").isNotNull() | F.col("word").isNull())
     stored = materialise(
         rows.select(
             F.when(F.col("word").isNull(), F.col("doc_id")).alias("doc_id"),
@@ -109,15 +129,14 @@ def ranked_windows(asked: DataFrame, index: PositionalIndex, window: int = WINDO
 def phrase_matches(index: PositionalIndex, windows: DataFrame) -> DataFrame:
     """(row, s, rid, start, width): every place where a whole window stands."""
     lists = index.postings
-    first = small(windows.filter("rank = 1").select("row", "s", "off", "term", "width"))
-    found = lists.join(first, "term").select("row", "s", "width", "rid", (F.col("pos") - F.col("off")).alias("start"))
+    first = windows.filter("rank = 1").select("row", "s", "off", "term", "width")
+    found = lookup(lists, first, ["term"], ["rid", "pos"]).select("row", "s", "width", "rid", (F.col("pos") - F.col("off")).alias("start"))
     found = found.filter("start >= 0")
     for rank in (2, 3):
         nth = windows.filter(F.col("rank") == rank)
-        probe = found.join(
-            small(nth.select("row", "s", F.col("off").alias("n_off"), F.col("term").alias("n_term"))), ["row", "s"], "left"
-        ).withColumn("n_pos", F.col("start") + F.col("n_off"))
-        own = lists.join(small(nth.select("term").distinct()), "term", "left_semi").select(
+        terms = nth.select("row", "s", F.col("off").alias("n_off"), F.col("term").alias("n_term"))
+        probe = lookup(found, terms, ["row", "s"], ["rid", "start"], "left").withColumn("n_pos", F.col("start") + F.col("n_off"))
+        own = lookup(lists, nth.select("term").distinct(), ["term"], ["rid", "pos"], "left_semi").select(
             F.col("rid").alias("o_rid"), F.col("pos").alias("o_pos"), F.col("term").alias("o_term")
         )
         longer = probe.filter("n_term is not null").join(
@@ -130,7 +149,7 @@ def phrase_matches(index: PositionalIndex, windows: DataFrame) -> DataFrame:
     rest = lists.join(left, "rid", "left_semi").select(
         F.col("rid").alias("o_rid"), F.col("pos").alias("o_pos"), F.col("term").alias("o_term")
     )
-    every = found.join(small(windows.select("row", "s", "off", "term")), ["row", "s"]).withColumn(
+    every = lookup(found, windows.select("row", "s", "off", "term"), ["row", "s"], ["rid", "start"]).withColumn(
         "n_pos", F.col("start") + F.col("off")
     )
     return (
@@ -148,15 +167,15 @@ def proximity_matches(index: PositionalIndex, windows: DataFrame, span: int, ter
     ``near`` counts places of the rarest term that have all the others close by.
     """
     lists = index.postings
-    first = small(windows.filter("rank = 1").select("row", "s", "term", "width"))
-    found = lists.join(first, "term").select("row", "s", "width", "rid", F.col("pos").alias("at"))
+    first = windows.filter("rank = 1").select("row", "s", "term", "width")
+    found = lookup(lists, first, ["term"], ["rid", "pos"]).select("row", "s", "width", "rid", F.col("pos").alias("at"))
     for rank in range(2, terms + 1):
         nth = windows.filter(F.col("rank") == rank).select("row", "s", F.col("term").alias("n_term"))
         # places are cut into blocks of span words: what is near lies in the same or the next block
-        probe = found.join(small(nth), ["row", "s"]).withColumn(
+        probe = lookup(found, nth, ["row", "s"], ["rid", "at"]).withColumn(
             "block", F.explode(F.sequence(F.floor((F.col("at") - span) / span), F.floor((F.col("at") + span) / span)))
         )
-        own = lists.join(small(nth.select(F.col("n_term").alias("term")).distinct()), "term", "left_semi").select(
+        own = lookup(lists, nth.select(F.col("n_term").alias("term")).distinct(), ["term"], ["rid", "pos"], "left_semi").select(
             F.col("rid").alias("o_rid"), F.col("pos").alias("o_pos"), F.col("term").alias("o_term"),
             F.floor(F.col("pos") / span).alias("o_block"),
         )

@@ -7,10 +7,16 @@ notice phrase, overlapping ones included.  A second automaton over the raw text
 finds identifier tags; what follows a tag is read as a licence expression by a
 shunting-yard parser (``with`` binds tighter than ``and``, ``and`` than ``or``).
 
+A text is ``permissive`` if every expression can be met with permissive licences and
+every label that no expression names is permissive; null without any label.
+
 Defined cases: a null text is empty; empty text has no words, no places, empty
-label strings and score 0; repeated rows are scanned each on its own; a tag with
-a malformed expression contributes the licence names it can read and lowers the
-score.  Rows are independent, so nothing is shuffled and no key can be hot.
+label strings and score 0; repeated rows, and rows without doc_id, are scanned each on
+its own; a tag with a malformed expression contributes the licence names it can read and
+lowers the score; a phrase that ends where another one begins counts as well as that one;
+an empty table gives no rows; very long texts are scanned whole, by one task each; other
+columns of ``docs``, whatever their names, are ignored.  Rows are independent, so nothing
+is shuffled and no key can be hot.
 """
 
 from __future__ import annotations
@@ -188,6 +194,7 @@ def scan_text(text: str) -> tuple:
         last = seen
     low = raw.lower().decode("latin-1")
     expressions: list[str] = []
+    named: set[str] = set()
     faults = 0
     verdicts: list[bool] = []
     if ":" in low:
@@ -197,12 +204,12 @@ def scan_text(text: str) -> tuple:
             faults += bool(wrong)
             if rpn:
                 expressions.append(" ".join(rpn))
-                extra.update(names(rpn))
+                named.update(names(rpn))
                 verdicts.append(evaluate(rpn))
-    every = base | extra
+    every = base | extra | named
     evidence = n_base + n_notices + 2 * len(expressions)
     score = evidence / (evidence + 1.0) / (1.0 + faults) if every else 0.0
-    permissive = all(verdicts) if verdicts else every <= PERMISSIVE if every else None
+    permissive = all(verdicts) and every - named <= PERMISSIVE if verdicts or every else None
     return (
         len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(every)), score,
         n_notices, expressions, permissive,

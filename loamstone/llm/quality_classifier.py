@@ -16,7 +16,10 @@ else, cut and spread included, covers all rows without a shuffle of texts.
 
 Defined cases: null and empty texts have zero features and are scored like any other;
 rows that repeat a doc_id are scored each on its own; a null doc_id has no label and
-is not held out; without labels of both kinds every score is 0.5.
+is not held out; a doc_id with both labels counts as each; without labels of both kinds
+every score is 0.5; equal strengths score alike, and one at the cut scores ``CUT_SCORE``
+and is predicted good; an empty table gives no rows; very long texts are read whole, by one
+task each; other columns of ``docs``, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, map_arrow, materialise, texts
@@ -196,12 +199,23 @@ def calibrate(model: Model, labelled: DataFrame) -> Model:
     return replace(model, cut=cut, steep=8.0 / max(good - bad, 1e-6))
 
 
+def sample(labelled: DataFrame) -> list:
+    """The ``FIT_ROWS`` rows of ``labelled(doc_id, good, x)`` with the lowest hash; every task leaves out most others first."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    n = labelled.count()
+    near = labelled.filter(place < F.lit(int(min(1.0, 1.5 * FIT_ROWS / max(n, 1)) * (1 << 30))))
+    for rows in (near, labelled):
+        found = rows.orderBy(place, "doc_id", F.xxhash64("x")).select("good", "x").limit(FIT_ROWS).collect()
+        if len(found) >= min(n, FIT_ROWS):
+            break
+    return found
+
+
 def train(known: DataFrame, labels: DataFrame) -> Model:
     """A model from the features of labelled rows that are not held out: weights from a sample, the cut from all."""
     own = labels.select(labels["doc_id"].cast("long").alias("l_id"), F.col("quality").cast("int").alias("good")).filter("good in (0, 1)")
     joined = known.filter(~F.col("held_out")).join(small(own.distinct()), F.col("doc_id") == F.col("l_id"))
-    rank = F.row_number().over(Window.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = joined.withColumn("rank", rank).filter(F.col("rank") <= FIT_ROWS).select("good", "x").collect()
+    rows = [r for k in (1, 0) for r in sample(joined.filter(F.col("good") == k))]
     if not rows:
         return fit(np.zeros((1, N_FEATURES)), np.zeros(1, bool))
     model = fit(np.array([r["x"] for r in rows], np.float64), np.array([r["good"] == 1 for r in rows]))

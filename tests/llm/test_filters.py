@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 import regex
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loamstone.llm import decontamination, licenses, quality_classifier, quality_rules, secrets, sharding
@@ -62,7 +64,8 @@ def test_contamination(spark, odd, docs, empty, data):
 
 
 def test_contamination_without_broadcast(spark, docs, data, monkeypatch):
-    monkeypatch.setattr(decontamination, "small", lambda df, rows=0: df)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontamination, "PARTS", 3)
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
     assert rows_of(decontamination.contamination(docs, bench)) == contaminated(texts_of(docs), [(r["item_id"], r["text"]) for r in bench.collect()])
 
@@ -281,6 +284,82 @@ def test_tags():
     assert row[5].split(",") == ["apache", "cc-by", "cc-by-nc", "mit"]
 
 
+@pytest.mark.parametrize(
+    ("text", "permissive"),
+    [
+        ("SPDX-License-Identifier: MIT\nunder the GNU General Public License", False),
+        ("SPDX-License-Identifier: MIT OR GPL-2.0\nunder the GNU General Public License", True),
+        ("SPDX-License-Identifier: GPL-2.0\nMIT license", False),
+        ("SPDX-License-Identifier: MIT\nApache License", True),
+        ("MIT license, all rights reserved", False),
+        ("MIT license", True),
+        ("SPDX-License-Identifier: Unheard-Of", False),
+        ("nothing here", None),
+    ],
+)
+def test_permissive(text, permissive):
+    assert licenses.scan_text(text)[9] is permissive
+
+
+def descend(text):
+    """Brute force: (named labels, can be met with permissive licences, faulty) of an expression, by recursive descent."""
+    found = re.findall(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*", text)
+    words = {"and", "or", "with"}
+
+    def label(x):
+        low = x.lower().rstrip("+")
+        fits = sorted((p for p in licenses.FAMILIES if low == p or low.startswith(p + "-")), key=len)
+        return licenses.FAMILIES[fits[-1]] if fits else None
+
+    def either(k):
+        names, ok, k = both(k)
+        while k < len(found) and found[k].lower() == "or":
+            more, good, k = both(k + 1)
+            names, ok = names | more, ok or good
+        return names, ok, k
+
+    def both(k):
+        names, ok, k = single(k)
+        while k < len(found) and found[k].lower() == "and":
+            more, good, k = single(k + 1)
+            names, ok = names | more, ok and good
+        return names, ok, k
+
+    def single(k):
+        if found[k] == "(":
+            names, ok, k = either(k + 1)
+            k += 1
+        else:
+            own = label(found[k])
+            names, ok, k = {own} - {None}, own in licenses.PERMISSIVE, k + 1
+        if k < len(found) and found[k].lower() == "with":
+            k += 2
+        return names, ok, k
+
+    assert found and found[0].lower() not in words
+    return either(0)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.recursive(
+    st.sampled_from(["MIT", "GPL-2.0-only", "Apache-2.0", "LGPL-3.0+", "BSD-3-Clause", "GPL-2.0 WITH Classpath-exception-2.0", "Foo-1", "CC-BY-NC-4.0"]),
+    lambda x: st.tuples(x, st.sampled_from([" AND ", " or "]), x).map("".join).map(lambda t: f"({t})") | st.tuples(x, st.sampled_from([" OR ", " and "]), x).map("".join),
+    max_leaves=8,
+), st.sampled_from(["", " mit license", " GNU Lesser General Public License.", " all rights  reserved; released into the public domain"]))
+def test_scan_against_brute_force(expression, notice):
+    names, ok, _ = descend(expression)
+    text = f"{notice}\n# SPDX-License-Identifier: {expression}\n"
+    w = [x.decode() for x in tokens(text)]
+    phrases = {**licenses.BASE_PHRASES, **licenses.NOTICE_PHRASES}
+    places = [label for p, label in phrases.items() for k in range(len(w)) if " ".join(w[k : k + len(p.split())]) == p]
+    row = licenses.scan_text(text)
+    every = set(places) | names
+    assert row[5] == ",".join(sorted(every))
+    evidence = len(places) + 2
+    assert row[6] == pytest.approx(evidence / (evidence + 1) if every else 0.0)
+    assert row[9] == (ok and set(places) - names <= licenses.PERMISSIVE)
+
+
 def check_shards(rows, limit):
     by = {}
     for _, size, shard, depth, oversize in rows:
