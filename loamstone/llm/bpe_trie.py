@@ -11,9 +11,13 @@ shared prefix once.
 Texts are normalised and cut into words by the tokenizer's own rules; distinct
 words of a batch go through the trie, and finished ones stay in a bounded cache.
 
-Defined cases: a null or empty text has no ids and decodes to the empty string.
-Rows are independent: nothing is shuffled, no key can be hot, and a worker's
-memory is bounded by its cache and one chunk of text.
+Defined cases: a null or empty text has no ids and decodes to the empty string; rows that
+repeat a doc_id, or have none, are encoded each on its own; an empty table gives no rows;
+other columns of ``docs``, whatever their names, are ignored.  A symbol that the vocabulary
+lacks is an error, and so is a tokenizer file whose rules are not those this module follows.
+Rows are independent: nothing is shuffled, no key can be hot, and a worker's memory is
+bounded by its cache, in number and length of words, and one chunk of text, or one very
+long text, which is encoded whole.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from .common import chunks, map_arrow, texts
 
 #: Words that a worker remembers; beyond that it starts anew.
 CACHE_WORDS = 450_000
+#: Longer words are encoded anew in each batch.
+WORD_LENGTH = 256
 
 #: Characters on whose classes every regular expression engine agrees.
 PLAIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\u024f]")
@@ -144,6 +150,10 @@ class WordCodec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        steps = [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", ())]
+        rules = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", ())]
+        if model["type"] != "BPE" or steps != ["Split", "ByteLevel"] or "Lowercase" not in rules or spec["decoder"] is not None:
+            raise ValueError("the tokenizer's rules are not those of a lower-casing word BPE over byte letters")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.trie = TrieEncoder(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -157,6 +167,7 @@ class WordCodec:
         self.alphabet = byte_alphabet()
         self.cache = cache
         self.known: dict[str, tuple[bytes, str]] = {}  # ids and tokens of a word
+        self.long: list[str] = []  # words that are forgotten after their batch
 
     def words(self, text: str) -> list[str]:
         """Words by the tokenizer's own rules; a special token stays one with a NUL before it."""
@@ -174,6 +185,8 @@ class WordCodec:
 
     def learn(self, words: set[str]) -> None:
         """Puts ids and tokens of unknown words into the cache."""
+        for w in self.long:
+            self.known.pop(w, None)
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.cache:
             self.known, new = {}, list(words)
@@ -187,6 +200,7 @@ class WordCodec:
         for w in new:
             own = found[as_bytes[w]] if w in as_bytes else [self.special[w[1:]]]
             self.known[w] = (b"".join([self.packed[i] for i in own]), " ".join([self.names[i] for i in own]))
+        self.long = [w for w in new if len(w) > WORD_LENGTH]
 
     def encode(self, batch: list[str]) -> list[tuple[int, bytes, str]]:
         """(token count, ids as little-endian unsigned 32-bit integers, decoded text) of each text.

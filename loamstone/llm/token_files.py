@@ -2,9 +2,10 @@
 
 A file image ("segment") holds the ids of a run of documents in ascending doc_id
 order and the ends of the documents as an Elias-Fano sequence: the low bits of
-each end are packed side by side, the high bits are unary in a bit vector, and a
-sampled select structure finds the i-th one-bit.  That takes about
-``2 + log2(ids / documents)`` bits a document instead of a 64-bit table entry.
+each end are packed side by side, the high bits are unary in a bit vector, and the file
+holds the place of every ``SELECT_STEP``-th one-bit, from which select looks for the i-th
+one by counting bits.  That takes about ``2.2 + log2(ids / documents)`` bits a document
+instead of a 64-bit table entry, and nothing is built when a file is opened.
 
 Segments travel as rows of a Parquet table in the shared folder, so any store
 that Spark reaches will do.  Documents are put in order by range partitioning on
@@ -15,7 +16,9 @@ of the ids in earlier partitions: one number for each partition.
 
 Defined cases: a null or empty text holds the end id alone; rows without a doc_id
 come first; rows that repeat a doc_id lie side by side, by text; an empty table
-gives no rows.  A document is never split over segments.
+gives no rows; other columns of ``docs``, whatever their names, are ignored.  A document
+is never split over segments, so one very long text makes one large segment and is encoded
+whole.  What a worker remembers of pieces is bounded in number and in bytes.
 """
 
 from __future__ import annotations
@@ -39,8 +42,9 @@ MAGIC = b"LSEF"
 SEGMENT_IDS = 1 << 20
 #: Text bytes in a range partition, about.
 PARTITION_BYTES = 24 << 20
-#: Pieces that a worker remembers; beyond that it starts anew.
+#: Pieces that a worker remembers, and the longest one it does; beyond that it starts anew.
 CACHE_PIECES = 1_000_000
+PIECE_LENGTH = 256
 #: Every so many one-bits, the select structure stores a place.
 SELECT_STEP = 256
 
@@ -50,9 +54,8 @@ SEGMENT_SCHEMA = "part int, segment int, start_in_part long, n_docs long, n_ids
 class EliasFano:
     """A non-decreasing sequence of integers in near-minimal space, with select."""
 
-    def __init__(self, n: int, universe: int, low_bits: int, low: np.ndarray, high: np.ndarray) -> None:
-        self.n, self.universe, self.low_bits, self.low, self.high = n, universe, low_bits, low, high
-        self.samples = self._sample()
+    def __init__(self, n: int, universe: int, low_bits: int, low: np.ndarray, high: np.ndarray, places: np.ndarray, skips: np.ndarray) -> None:
+        self.n, self.universe, self.low_bits, self.low, self.high, self.places, self.skips = n, universe, low_bits, low, high, places, skips
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -64,25 +67,28 @@ class EliasFano:
         bits = ((v[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
         low = np.packbits(bits.ravel(), bitorder="little")
         marks = np.zeros(n + (universe >> low_bits) + 1, np.uint8)
-        marks[(v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)] = 1
-        return cls(n, universe, low_bits, low, np.packbits(marks, bitorder="little"))
-
-    def _sample(self) -> np.ndarray:
-        """Byte places of every SELECT_STEP-th one-bit, and the ones before each of those bytes."""
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.high), dtype=np.int64)])
-        wanted = np.arange(0, self.n, SELECT_STEP, dtype=np.int64)
-        return np.searchsorted(self.before, wanted, side="right") - 1
+        ones = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
+        marks[ones] = 1
+        # every SELECT_STEP-th one-bit: its byte, and how many one-bits that byte has before it
+        sampled = ones[::SELECT_STEP]
+        skips = np.array([marks[x // 8 * 8 : x].sum() for x in sampled], "u1")
+        return cls(n, universe, low_bits, low, np.packbits(marks, bitorder="little"), (sampled // 8).astype("<u4"), skips)
 
     def select(self, i: int) -> int:
-        """The i-th value."""
-        byte = int(self.samples[i // SELECT_STEP])
-        while self.before[byte + 1] <= i:
-            byte += 1
-        left = i - int(self.before[byte])
-        word = int(self.high[byte])
+        """The i-th value: from the sampled place before it, 64 bytes at a time."""
+        sample = i // SELECT_STEP
+        byte, left = int(self.places[sample]), i - sample * SELECT_STEP + int(self.skips[sample])
+        while True:
+            ones = np.cumsum(np.bitwise_count(self.high[byte : byte + 64]), dtype=np.int64)
+            if ones[-1] > left:
+                break
+            byte, left = byte + 64, left - int(ones[-1])
+        inside = int(np.searchsorted(ones, left, side="right"))
+        left -= int(ones[inside - 1]) if inside else 0
+        word = int(self.high[byte + inside])
         for _ in range(left):
             word &= word - 1
-        place = byte * 8 + (word & -word).bit_length() - 1
+        place = (byte + inside) * 8 + (word & -word).bit_length() - 1
         return (place - i) << self.low_bits | self._low(i)
 
     def _low(self, i: int) -> int:
@@ -91,25 +97,32 @@ class EliasFano:
             out |= (int(self.low[(at + k) >> 3]) >> ((at + k) & 7) & 1) << k
         return out
 
-    def select_all(self) -> np.ndarray:
-        """All values at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)) << self.low_bits
-        if not self.low_bits:
-            return high
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return high | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+    def select_range(self, first: int, end: int) -> np.ndarray:
+        """The values from the first-th on, up to the one before the end-th, block by block of sampled places."""
+        out = np.empty(max(0, end - first), np.int64)
+        for sample in range(first // SELECT_STEP, -(-end // SELECT_STEP) if end > first else 0):
+            base = sample * SELECT_STEP
+            byte = int(self.places[sample])
+            stop = int(self.places[sample + 1]) + 1 if sample + 1 < len(self.places) else len(self.high)
+            ones = np.flatnonzero(np.unpackbits(self.high[byte:stop], bitorder="little"))[int(self.skips[sample]) :] + 8 * byte
+            a, b = max(first, base), min(end, base + SELECT_STEP)
+            i = np.arange(a, b)
+            high = (ones[a - base : b - base] - i) << self.low_bits
+            bits = np.unpackbits(self.low[a * self.low_bits // 8 : b * self.low_bits // 8 + 1], bitorder="little")
+            bits = bits[a * self.low_bits % 8 :][: len(i) * self.low_bits].reshape(len(i), self.low_bits).astype(np.int64)
+            out[a - first : b - first] = high | (bits << np.arange(self.low_bits)).sum(axis=1)
+        return out
 
     def to_bytes(self) -> bytes:
-        head = struct.pack("<QQBQQ", self.n, self.universe, self.low_bits, len(self.low), len(self.high))
-        return head + self.low.tobytes() + self.high.tobytes()
+        head = struct.pack("<QQBQQQ", self.n, self.universe, self.low_bits, len(self.low), len(self.high), len(self.places))
+        return head + self.low.tobytes() + self.high.tobytes() + self.skips.tobytes() + self.places.tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
-        n, universe, low_bits, a, b = struct.unpack_from("<QQBQQ", data)
-        at = struct.calcsize("<QQBQQ")
-        low = np.frombuffer(data, np.uint8, a, at)
-        return cls(n, universe, low_bits, low, np.frombuffer(data, np.uint8, b, at + a))
+        n, universe, low_bits, a, b, c = struct.unpack_from("<QQBQQQ", data)
+        at = struct.calcsize("<QQBQQQ")
+        low, high = np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a)
+        return cls(n, universe, low_bits, low, high, np.frombuffer(data, "<u4", c, at + a + b + c), np.frombuffer(data, "u1", c, at + a + b))
 
 
 def pack_segment(ids: bytes, width: int, lengths: list[int]) -> bytes:
@@ -134,17 +147,20 @@ CROSSING = (
 )
 
 
-#: Marks that the rule keeps apart from letters and digits, whatever follows.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
-MARK_SET = frozenset(MARKS)
+# Marks at the end of a word are a run of their own by the rule, whatever follows; the letters
+# and digits in front are those on whose classes every engine agrees.
+MARKED = r"([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!\"#$%&()*+,\-./:;<=>?@\[\]^_`{|}~]+)( |$)"
+#: What stands before such marks once they are cut off, where other pieces have a blank.
+BARE = "\0"
 
 
 class PieceEncoder:
     """The tokenizer library over distinct pieces of text, with a bounded cache.
 
     Its rule never joins what stands before a blank with the blank, unless that is white
-    space too.  So a text is cut before its blanks, and each distinct piece is encoded
-    once: many new pieces side by side in one call, told apart by their first tokens.
+    space too.  So a text is cut before its blanks, and before the marks that end a word,
+    and each distinct piece is encoded once: many new pieces side by side in one call, told
+    apart by their first tokens.
     """
 
     def __init__(self, path: str) -> None:
@@ -156,7 +172,9 @@ class PieceEncoder:
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.known: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.long: list[str] = []  # pieces that are forgotten after their batch
+        # texts that hold a token that is matched before the rule, or BARE itself, are encoded whole
+        self.apart = [BARE, *(t.content for t in self.library.get_added_tokens_decoder().values())]
         self.blank = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
         self.blank[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
 
@@ -166,19 +184,17 @@ class PieceEncoder:
         return [np.array(x.ids, self.kind).tobytes() for x in found]
 
     def learn(self, pieces: set[str]) -> None:
-        """Puts packed ids of unknown pieces (each behind a blank) into the cache."""
+        """Puts packed ids of unknown pieces into the cache: each behind a blank, or without one if it starts with ``BARE``."""
+        for x in self.long:
+            self.known.pop(x, None)
         new = pieces.difference(self.known)
         if len(self.known) + len(new) > CACHE_PIECES:
-            self.known, self.tails, new = {}, {}, pieces
+            self.known = {x: self.known[x] for x in pieces.difference(new)}
+        bare = [x for x in new if x[:1] == BARE]
+        self.known.update(zip(bare, self.whole([x[1:] for x in bare]), strict=True))
         alone = [x for x in new if not x or x[-1].isspace()]
         self.known.update(zip(alone, self.whole([" " + x for x in alone]), strict=True))
-        # marks behind a letter or digit are a run of their own: the word in front is looked up without them
-        words = new.difference(alone)
-        ended = [(x, x.rstrip(MARKS)) for x in words if x[-1] in MARK_SET]
-        marked = [(x, w, x[len(w) :]) for x, w in ended if w and w[-1].isalnum()]
-        words.difference_update([x for x, _, _ in marked])
-        words.update({w for _, w, _ in marked}.difference(self.known))
-        order = list(words)
+        order = list(new.difference(alone, bare))
         slabs = [" " + " ".join(order[at : at + 64]) for at in range(0, len(order), 64)]
         if slabs:
             found = self.library.encode_batch_fast(slabs, add_special_tokens=False)
@@ -187,16 +203,16 @@ class PieceEncoder:
             cuts = [*(np.flatnonzero(self.blank[ids]) * self.width).tolist(), ids.nbytes]
             packed = ids.tobytes()
             self.known.update(zip(order, [packed[a:b] for a, b in pairwise(cuts)], strict=True))
-        tails = list({t for _, _, t in marked if t not in self.tails})
-        self.tails.update(zip(tails, self.whole(tails), strict=True))
-        self.known.update([(x, self.known[w] + self.tails[t]) for x, w, t in marked])
+        self.long = [x for x in new if len(x) > PIECE_LENGTH]
 
     def encode(self, batch: pa.Array) -> list[bytes]:
         """Packed ids of each text of a string array without nulls."""
         odd = pc.match_substring_regex(batch, CROSSING)
+        for x in self.apart:
+            odd = pc.or_(odd, pc.match_substring(batch, x))
         marks = odd.to_pylist()
         strange = iter(self.whole(batch.filter(odd).to_pylist()))
-        cut = pc.split_pattern(batch.filter(pc.invert(odd)), " ")
+        cut = pc.split_pattern(pc.replace_substring_regex(batch.filter(pc.invert(odd)), MARKED, r"\1 " + BARE + r"\2\3"), " ")
         if not len(cut):
             return list(strange)
         offsets = cut.offsets.to_numpy()
@@ -286,7 +302,7 @@ def read_segments(spark, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 ends, ids = unpack_segment(row["image"])
-                places = [0, *ends.select_all().tolist()]
+                places = [0, *ends.select_range(0, ends.n).tolist()]
                 wide = memoryview(ids.astype("<u4").tobytes())
                 sums = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(places, places[1:], strict=False)]
                 first = np.asarray(places[:-1], np.int64) + row["base"] + row["start_in_part"]

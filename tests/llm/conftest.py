@@ -18,6 +18,7 @@ def odd(spark):
         (8, "two words"), (9, "MIT License. Apache license, general public license"), (None, "a row without id"), (10, "a" * 3000),
         (11, 'say password = "Xk29fQ81kdPz" twice, token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" end'),
         (12, "<|endoftext|> special <|startoftext|>x"), (13, "x  y \n z\r\n"), (14, "9 8 7 , . ; :"),
+        (15, "mid <|endoftext|> of, x<|endoftext|>y (z) \"q\", it's. it' a\0b\0, \0c ñ, ſ. ², ٣!"), (16, "a-b- c_d__ e.f. 1, 2.5. ×, ÷. ª; ß? Ɏ,"),
     ]
     return make(spark, rows)
 

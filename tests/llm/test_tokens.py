@@ -20,10 +20,19 @@ BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe
 def test_elias_fano_round_trip(steps):
     values = np.cumsum(np.array(steps, np.int64))
     ef = token_files.EliasFano.from_bytes(token_files.EliasFano.encode(values).to_bytes())
-    assert ef.select_all().tolist() == values.tolist()
+    assert ef.select_range(0, ef.n).tolist() == values.tolist()
+    assert ef.select_range(len(values) // 3, len(values) // 2).tolist() == values[len(values) // 3 : len(values) // 2].tolist()
     assert [ef.select(i) for i in range(0, len(values), 7)] == values[::7].tolist()
 
 
+def test_select_over_long_gaps():
+    values = np.cumsum(np.r_[np.ones(3000, np.int64), 4_000_000, np.zeros(700, np.int64), 9_000_000, np.arange(900)])
+    ef = token_files.EliasFano.encode(values)
+    assert [ef.select(i) for i in range(0, len(values), 11)] == values[::11].tolist()
+    assert ef.select_range(2990, 3800).tolist() == values[2990:3800].tolist()
+    assert len(ef.places) == -(-len(values) // token_files.SELECT_STEP)
+
+
 def test_elias_fano_is_small():
     values = np.cumsum(np.random.default_rng(1).integers(1, 2000, 10_000))
     assert 8 * len(token_files.EliasFano.encode(values).to_bytes()) < 14 * len(values)
