@@ -83,4 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op5_decontamination": sql.DECONTAMINATION, "op6_near_dedup": sql.NEAR_DUPLICATES}
+    return {
+        "op5_decontamination": sql.DECONTAMINATION, "op6_near_dedup": sql.NEAR_DUPLICATES,
+        "op7_sharding": sql.sharding(sharding.SHARD_BYTES),
+    }

@@ -42,3 +42,22 @@ least_of as (select a, min(b) as low from reach group by 1)
 select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(low, d.doc_id) as component_id, d.doc_id = coalesce(low, d.doc_id) as kept
 from documents d left join sizes on sizes.doc_id = d.doc_id left join least_of on a = d.doc_id
 """
+
+
+def sharding(limit: int) -> str:
+    """Shards by prefixes of 60 bits: sizes of every prefix, the shortest that fits, and pieces of cells that never do."""
+    return f"""
+with docs as (select row_number() over () as rid, doc_id, octet_length(encode(coalesce(text, ''))) as b,
+  cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 't' || md5(coalesce(text, '')))), 1, 15) as bigint) as h from documents),
+prefixes as (select rid, b, depth, h >> (60 - depth) as prefix from (select rid, b, h, unnest(range(0, 61)) as depth from docs)),
+sizes as (select depth, prefix, sum(b) as s, count(*) as n from prefixes group by 1, 2),
+placed as (select rid, min(p.depth) as depth from prefixes p join sizes using (depth, prefix) where s <= {limit} group by 1),
+ending as (select coalesce(min(depth), 60) as last from (select depth, max(n) as n from sizes where depth % 10 = 0 and depth > 0 and s > {limit} group by 1) where n = 1),
+rest as (select rid, doc_id, b, h >> (60 - last) as cell, last, cast(b > {limit // 2} as int) as big, case when b > {limit // 2} then 0 else b end as little
+  from docs, ending where rid not in (select rid from placed)),
+runs as (select *, coalesce(sum(big) over w, 0) as bigs, coalesce(sum(little) over w, 0) as littles, max(little) over (partition by cell) as most, sum(big) over (partition by cell) as all_bigs
+  from rest window w as (partition by cell order by b, rid rows between unbounded preceding and 1 preceding))
+select doc_id, cast(b as bigint) as n_bytes, case when depth = 0 then 'root' else lpad(bin(h >> (60 - depth)), cast(depth as int), '0') end as shard, cast(depth as int) as depth, false as oversize
+from docs join placed using (rid)
+union all select doc_id, cast(b as bigint), lpad(bin(cell), cast(last as int), '0') || '+' || cast(case when big = 1 then bigs else all_bigs + littles // ({limit} - most + 1) end as bigint), cast(last as int), b > {limit} from runs
+"""

@@ -172,6 +172,47 @@ def test_classifier_is_right_on_held_out_rows(spark, odd, empty):
     assert {r["score"] for r in quality_classifier.classify(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def plain_features(text):
+    """Brute force of a text's features, character by character."""
+    raw = (text or "").encode()
+    kinds = {c: k for k, members in enumerate([b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b".,", b"!?;:'\"()-_/@=[]", b"#*$%&|<>^~`{}\\+"]) for c in members}
+    kind = [kinds.get(c, 9 if c >= 128 else 8) for c in raw]
+    pairs = Counter(zip(kind, kind[1:], strict=False))
+    total = max(sum(pairs.values()), 1)
+    out = [(pairs[a, b] / total) ** 0.5 for a in range(10) for b in range(10)]
+    words = raw.split()
+    if not words:
+        return [*out, *[0.0] * 8]
+    n, lines = len(words), [x for x in raw.split(b"\n") if x.strip()]
+    three = [tuple(words[k : k + 3]) for k in range(n - 2)]
+    return [
+        *out, np.log1p(n) / 10, len(raw) / n / 20, len(set(words)) / n, 1 - len(set(three)) / len(three) if three else 0,
+        len(set(lines)) / max(len(lines), 1), np.log1p(len(lines)) / 10, max(map(len, words)) / 100, float(n < 50),
+    ]
+
+
+def test_classifier_against_brute_force(spark):
+    """Features, sample, cut and scores of the query, done plainly over all rows at once."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    texts = dict(texts_of(docs))
+    x = {i: np.array(plain_features(t), np.float32).astype(np.float64) for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in texts}
+    known = [(r["doc_id"], r["quality"]) for r in labels.collect() if not held[r["doc_id"]]]
+    place = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h")).collect()}
+    order = sorted(known, key=lambda r: (-r[1], place[r[0]], r[0]))
+    model = quality_classifier.fit(np.array([x[i] for i, _ in order]), np.array([q == 1 for _, q in order]))
+    strength = {i: float(model.strength(v[None])[0]) for i, v in x.items()}
+    own = np.array([strength[i] for i, _ in known])
+    good = np.array([q == 1 for _, q in known])
+    cut = np.quantile(own, np.mean(~good), method="midpoint")
+    steep = 8.0 / (np.quantile(own[good], 0.5, method="midpoint") - np.quantile(own[~good], 0.5, method="midpoint"))
+    got = {r["doc_id"]: r for r in quality_classifier.classify(docs, labels).collect()}
+    for i, s in strength.items():
+        want = 1 / (1 + np.exp(-np.clip((s - cut) * steep + np.log(0.7 / 0.3), -30, 30)))
+        assert got[i]["score"] == pytest.approx(want, abs=2e-5)
+        assert got[i]["held_out"] == held[i]
+
+
 def test_classifier_ignores_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
@@ -382,6 +423,21 @@ def test_sharding(odd, docs, empty):
     assert sharding.assign_shards(empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [100, 2500, 20_000, 10**6])
+def test_sharding_says_what_its_sql_says(spark, odd, data, limit):
+    import duckdb
+
+    from loamstone.llm import sql
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    every = docs.union(odd.select("doc_id", "text")).union(make(spark, [(1000, "x" * (k % 7 * 13)) for k in range(60)]).select("doc_id", "text"))
+    connection = duckdb.connect()
+    connection.register("documents", every.toArrow())
+    want = connection.sql(sql.sharding(limit)).fetchall()
+    key = lambda r: (r[2], r[1], str(r[0]))
+    assert sorted(map(tuple, sharding.assign_shards(every, limit).collect()), key=key) == sorted(want, key=key)
+
+
 def test_sharding_of_one_key(spark):
     rows = [tuple(r) for r in sharding.assign_shards(make(spark, [(1, "x" * 10)] * 30 + [(2, "y" * 50)]), 100).collect()]
     assert len(rows) == 31
