@@ -29,8 +29,9 @@ def op1_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -
     return token_files.read_segments(spark, written)
 
 
-def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+def op2_secrets(spark: SparkSession, sf_dir: str, dictionary: str | None = None) -> DataFrame:
+    scanner = secrets.Scanner.trained(spark, dictionary or tokenizer("word_bpe_49k.json"))
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"), scanner)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,33 +2,46 @@
 
 Everything runs as DataFrame expressions.  One regular expression finds candidates;
 cutting the text by the same expression gives the words around each.  A candidate's
-features are its length, its character transitions, how much of it dictionary words
-cover, and what the path and the neighbouring words say.  The forest is trained by
-Spark's own trainer on labelled findings and then written out as SQL conditions, so a
-text's candidates are judged, and its secrets blanked, inside its own row: no shuffle,
-no join, no key that could be hot.
+features are its length, its character transitions (turns of character classes, and
+letter pairs that are likely or unlikely by the dictionary's own counts), how much of it
+dictionary words cover, and what the path and the neighbouring words say.  The forest is
+trained by Spark's own trainer on labelled findings and then written out as SQL
+conditions, so a text's candidates are judged, and its secrets blanked, inside its own
+row: no shuffle, no join, no key that could be hot.
+
+The dictionary is the words and word ends of a public tokenizer's vocabulary file,
+``WORDS`` at most, in the file's order, which is that of their frequency; it becomes one
+regular expression in the shape of a trie, which takes the longest word at each place.
 
 :func:`labelled_findings` makes the shipped training set by rule, ``FINDINGS`` rows of
 known kinds: keys as services issue them, and what scanners often mistake for them
-(commit ids, checksums, identifiers, placeholders, paths, long words).  Any other table
-(value, left, right, path, label) will do as well.
+(commit ids, checksums, identifiers, placeholders, paths, long words, embedded data).
+Any other table (value, lead, left, right, path, label) will do as well.
 
 Defined cases: a null or empty text has no candidates and stays as it is (null stays
-null); a null path counts as empty; rows that repeat a doc_id are scanned each on its
-own; texts of any length are scanned whole.
+null); a null path counts as empty; rows that repeat a doc_id, or have none, are scanned
+each on its own; a candidate with votes for exactly the share asked is a secret; an empty
+table gives no rows; texts of any length are scanned whole, and no feature makes an array
+of a candidate's characters; columns of ``docs`` travel inside ``row``, so that no name
+can clash.  A private key is one candidate from its first line to its last, if at most
+``KEY_LENGTH`` characters lie between; otherwise its lines are judged each by itself.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FINDINGS = 4000
-TREES, DEPTH, SEED = 15, 6, 11
+FINDINGS = 6000
+TREES, DEPTH, SEED = 25, 8, 11
 VOTES = 0.5
 MASK = "[SECRET]"
 
@@ -37,18 +50,16 @@ ASKING = ["token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "
 INNOCENT = ["commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "revision", "integrity", "etag", "build", "id"]
 PLACEHOLDERS = ["example", "changeme", "placeholder", "your", "dummy", "sample", "xxxx", "test", "insert", "redacted", "1234567890", "abcdef"]
 TEST_PATHS = ["test", "example", "sample", "fixture", "mock", "docs", "spec", "demo"]
-# Common words that identifiers are made of.
-WORDS = [
-    "the", "and", "for", "with", "get", "set", "user", "name", "type", "value", "data", "list", "item", "file", "path", "config",
-    "service", "factory", "manager", "handler", "request", "response", "client", "server", "session", "context", "index", "table",
-    "query", "result", "error", "message", "string", "number", "object", "array", "default", "version", "system", "application",
-    "component", "controller", "provider", "builder", "update", "create", "delete", "insert", "select", "document", "element", "network",
-    "account", "address", "time", "date", "tion", "ing", "ment", "heit", "keit", "lich", "ung", "ation", "able", "ness", "eau", "ción",
-]
-
-#: Keyword, sign and quote in front of a value.
-LEAD = r"""(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s{0,3}[:=]{1,2}\s{0,3}["']?"""
-CANDIDATE = rf"""{LEAD}[^\s"']{{6,}}|-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----|[A-Za-z0-9+/_=-]{{20,}}"""
+WORDS = 6000
+KEY_LENGTH = 8000
+
+#: What may stand before a value: a name that ends in a keyword, sign and quote.
+LEAD = r"""(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{0,48}?(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[A-Za-z0-9_-]{0,24}["']?\s{0,3}[:=]{1,2}\s{0,3}["']?"""
+CANDIDATE = (
+    rf"""{LEAD}[^\s"']{{6,}}"""
+    rf"""|-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{{0,{KEY_LENGTH}}}-----END [A-Z ]{{0,20}}PRIVATE KEY-----)?"""
+    r"""|[A-Za-z0-9+/_=-]{20,}"""
+)
 
 _V, _L, _R, _P = "c.value", "lower(c.`left`)", "lower(c.`right`)", "lower(c.path)"
 
@@ -66,40 +77,103 @@ def _says(words: list[str], where: str) -> str:
     return f"cast(regexp_like({where}, {_sql('|'.join(map(re.escape, words)))}) as double)"
 
 
-#: Name and SQL of each feature over a candidate ``c(value, lead, left, right, path)``.
-FEATURES = {
-    "size": f"cast(least(length({_V}), 200) as double)",
-    "digits": _share("[0-9]"),
-    "capitals": _share("[A-Z]"),
-    "smalls": _share("[a-z]"),
-    "marks": _share("[^A-Za-z0-9]"),
-    "hex": f"cast(regexp_like({_V}, {_sql('^[0-9a-fA-F]+$')}) as double)",
-    "known_prefix": f"cast(regexp_like({_V}, {_sql('^(AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ|glpat-|npm_|-----BEGIN)')}) as double)",
-    "to_digit": _share("[A-Za-z](?=[0-9])"),
-    "from_digit": _share("[0-9](?=[A-Za-z])"),
-    "to_capital": _share("[a-z](?=[A-Z])"),
-    "vowel_turns": _share("[aeiouAEIOU](?=[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z])"),
-    "same_twice": _share(r"(.)(?=\1)"),
-    "distinct": f"size(array_distinct(split({_V}, ''))) / greatest(length({_V}), 1)",
-    "dictionary": f"1 - length(regexp_replace(lower({_V}), {_sql('|'.join(WORDS))}, '')) / greatest(length({_V}), 1)",
-    "parts": f"cast(size(split({_V}, {_sql('[-_/+=.]')})) as double)",
-    "placeholder": _says(PLACEHOLDERS, f"lower({_V})"),
-    "lead": "cast(length(c.lead) > 0 as double)",
-    "asking_left": _says(ASKING, _L),
-    "innocent_left": _says(INNOCENT, _L),
-    "quoted": f"cast(regexp_like(c.`right`, {_sql(chr(94) + '[' + chr(34) + chr(39) + ']')}) as double)",
-    "test_path": _says(TEST_PATHS, _P),
-    "test_words": f"greatest({_says(TEST_PATHS, _L)}, {_says(TEST_PATHS, _R)})",
-}
+def trie_pattern(words: Iterable[str]) -> str:
+    """A regular expression that matches the longest of ``words`` at a place."""
+    trie: dict = {}
+    for word in words:
+        node = trie
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        branches = [re.escape(c) + written(below) for c, below in sorted(node.items()) if c]
+        if not branches:
+            return ""
+        inner = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"
+        return f"{inner}?" if "" in node else inner
+
+    return written(trie)
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """A dictionary and the letter pairs that are likely, or unlikely, in its words."""
+
+    words: tuple[str, ...]
+    likely: frozenset[str]
+    unlikely: frozenset[str]
+
+    @classmethod
+    def of(cls, words: Iterable[str]) -> Lexicon:
+        """The pairs that make up four fifths of all are likely, those of the last hundredth, or never seen, are not."""
+        own = tuple(dict.fromkeys(words))
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        seen = Counter(w[k : k + 2] for w in own for k in range(len(w) - 1))
+        total, held, likely, unlikely = sum(seen.values()), 0, set(), {a + b for a in letters for b in letters} - set(seen)
+        for pair, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
+            (likely if held < 0.8 * total else unlikely if held >= 0.99 * total else set()).add(pair)
+            held += n
+        return cls(own, frozenset(likely), frozenset(unlikely))
+
+    def pairs(self, which: frozenset[str]) -> str:
+        """A regular expression that matches the first letter of each of these pairs."""
+        first: dict[str, str] = {}
+        for pair in sorted(which):
+            first[pair[0]] = first.get(pair[0], "") + pair[1]
+        return "|".join(f"{a}(?=[{b}])" for a, b in first.items())
+
+
+def vocabulary(path: str, most: int = WORDS) -> Lexicon:
+    """The dictionary of a tokenizer file's words and word ends of four letters or more, in the file's order."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model["end_of_word_suffix"]
+    ranked = sorted((i, t) for t, i in model["vocab"].items() if t.endswith(end))
+    words = [t[: -len(end)] for _, t in ranked]
+    return Lexicon.of([w for w in words if re.fullmatch("[a-z]{4,}", w)][:most])
+
+
+def features(lexicon: Lexicon) -> dict[str, str]:
+    """Name and SQL of each feature over a candidate ``c(value, lead, left, right, path)``."""
+    letters = f"greatest(regexp_count(lower({_V}), {_sql('[a-z](?=[a-z])')}), 1)"
+    alphabet = [chr(c) for c in range(33, 127) if chr(c) not in "'\\"]
+    return {
+        "size": f"cast(least(length({_V}), 200) as double)",
+        "digits": _share("[0-9]"),
+        "capitals": _share("[A-Z]"),
+        "smalls": _share("[a-z]"),
+        "marks": _share("[^A-Za-z0-9]"),
+        "hex": f"cast(regexp_like({_V}, {_sql('^[0-9a-fA-F]+$')}) as double)",
+        "known_prefix": f"cast(regexp_like({_V}, {_sql('^(AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ|glpat-|npm_|-----BEGIN)')}) as double)",
+        "to_digit": _share("[A-Za-z](?=[0-9])"),
+        "from_digit": _share("[0-9](?=[A-Za-z])"),
+        "to_capital": _share("[a-z](?=[A-Z])"),
+        "vowel_turns": _share("[aeiouAEIOU](?=[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z])"),
+        "same_twice": _share(r"(.)(?=\1)"),
+        "likely_pairs": f"regexp_count(lower({_V}), {_sql(lexicon.pairs(lexicon.likely))}) / {letters}",
+        "unlikely_pairs": f"regexp_count(lower({_V}), {_sql(lexicon.pairs(lexicon.unlikely))}) / {letters}",
+        "distinct": f"({' + '.join(f'cast(instr({_V}, {_sql(c)}) > 0 as int)' for c in alphabet)}) / greatest(length({_V}), 1)",
+        "dictionary": f"1 - length(regexp_replace(lower({_V}), {_sql(trie_pattern(lexicon.words))}, '')) / greatest(length({_V}), 1)",
+        "parts": f"cast(regexp_count({_V}, {_sql('[-_/+=.]')}) as double)",
+        "placeholder": _says(PLACEHOLDERS, f"lower({_V})"),
+        "lead": "cast(length(c.lead) > 0 as double)",
+        "asking_left": _says(ASKING, _L),
+        "innocent_left": _says(INNOCENT, _L),
+        "quoted": f"cast(regexp_like(c.`right`, {_sql(chr(94) + '[' + chr(34) + chr(39) + ']')}) as double)",
+        "test_path": _says(TEST_PATHS, _P),
+        "test_words": f"greatest({_says(TEST_PATHS, _L)}, {_says(TEST_PATHS, _R)})",
+    }
 
 
 def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     """(value, left, right, path, label): findings of known kinds, made by rule from row numbers."""
     base = spark.range(rows, numPartitions=1).selectExpr(
         "id", "sha2(cast(id as string), 256) as h", "base64(unhex(sha2(concat('b', id), 256))) as b64",
-        "pmod(xxhash64(id), 16) as kind", "pmod(xxhash64(id, 'x'), 4) as turn",
+        "pmod(xxhash64(id), 24) as kind", "pmod(xxhash64(id, 'x'), 4) as turn",
     )
     asked = "element_at(array('token = \"', 'api_key: ', 'secret=', 'password = \"'), cast(turn + 1 as int))"
+    named = "element_at(array('DB_PASSWORD=', 'AWS_SECRET_ACCESS_KEY=', 'SERVICE_API_KEY=', 'export APP_TOKEN_V2='), cast(turn + 1 as int))"
     words = "concat_ws('', transform(sequence(1, 3 + cast(turn as int)), k -> element_at(array({}), cast(pmod(xxhash64(id, k), {}) + 1 as int))))"
     parts = ["user", "Manager", "Config", "Service", "handler", "Factory", "th", "ation", "eau", "heit", "lich", "the", "ment", "er", "ou", "in"]
     word = words.format(", ".join(f"'{p}'" for p in parts), len(parts))
@@ -120,6 +194,14 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         13: (f"concat('usr/', {word}, '/', {word}, '/', {word})", "'in '", "' '", "'notes'", 0),
         14: ("repeat(element_at(array('=', '-', '_', 'ab'), cast(turn + 1 as int)), 24)", "'line '", "' '", "'page'", 0),
         15: ("substr(h, 1, 40)", asked, "'\"'", "'tests/fixtures/sample.py'", 0),
+        16: ("substr(b64, 1, 24 + 4 * cast(turn as int))", named, "'\\n'", "'.env'", 1),
+        17: (f"concat({word}, cast(pmod(xxhash64(id, 'n'), 9000) as string), '!')", named, "'\\n'", "'.env'", 1),
+        18: ("concat('-----BEGIN RSA PRIVATE KEY-----\\n', b64, '\\n', b64, '\\n-----END RSA PRIVATE KEY-----')", "'key:\\n'", "'\\n'", "'id_rsa'", 1),
+        19: ("element_at(array(concat('sk_live_', substr(h, 1, 24)), concat('xoxb-', substr(h, 1, 12), '-', substr(h, 13, 24)), concat('AIza', substr(regexp_replace(b64, '[+/=]', '-'), 1, 35)), concat('glpat-', substr(regexp_replace(b64, '[+/=]', '_'), 1, 20))), cast(turn + 1 as int))", "'use '", "'\\n'", "'notes'", 1),
+        20: ("concat(b64, b64, b64)", "'src=data:image/png;base64,'", "'\"'", "'page.html'", 0),
+        21: ("concat(element_at(array('sha256-', 'sha512-', 'sha1-', 'sha384-'), cast(turn + 1 as int)), b64)", "'\"integrity\": \"'", "'\"'", "'package-lock.json'", 0),
+        22: (f"concat({word}, '_', {word}, '_', {word})", "'def '", "'(self'", "'src/a.py'", 0),
+        23: (f"concat('get', {word}, 'From', {word})", asked, "'('", "'src/b.js'", 0),
     }
     pick = lambda i: "case kind " + " ".join(f"when {k} then {v[i]}" for k, v in kinds.items()) + " end"
     return base.selectExpr(
@@ -127,17 +209,32 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     ).selectExpr("value", f"regexp_extract(full_left, {_sql('(?i)' + LEAD + '$')}, 0) as lead", "full_left as `left`", "`right`", "path", "label")
 
 
-def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> RandomForestClassificationModel:
+def train(findings: DataFrame, lexicon: Lexicon, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> RandomForestClassificationModel:
     """A random forest over the features of labelled findings (value, lead, left, right, path, label)."""
     shaped = findings.selectExpr("struct(value, lead, `left`, `right`, path) as c", "label")
-    known = shaped.selectExpr("label", *[f"{sql} as {name}" for name, sql in FEATURES.items()])
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known).select("features", "label")
+    known = shaped.selectExpr("label", *[f"{sql} as {name}" for name, sql in features(lexicon).items()])
+    rows = VectorAssembler(inputCols=list(features(lexicon)), outputCol="features").transform(known).select("features", "label")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=2).fit(rows)
 
 
+@dataclass
+class Scanner:
+    """A trained forest with the dictionary that its features ask."""
+
+    model: RandomForestClassificationModel
+    lexicon: Lexicon
+    votes: float = VOTES
+
+    @classmethod
+    def trained(cls, spark: SparkSession, dictionary: str) -> Scanner:
+        """On the shipped findings, with the dictionary of a tokenizer file."""
+        lexicon = vocabulary(dictionary)
+        return cls(train(labelled_findings(spark), lexicon), lexicon)
+
+
 def forest_sql(model: RandomForestClassificationModel) -> str:
     """The share of trees that vote for a secret, as SQL over a feature struct ``f``."""
-    names = list(FEATURES)
+    names = list(features(Lexicon.of([])))
 
     def tree(lines: list[str]) -> str:
         head = lines[0].strip()
@@ -152,43 +249,42 @@ def forest_sql(model: RandomForestClassificationModel) -> str:
     return f"({' + '.join(votes)}) / {len(votes)}"
 
 
-def find_secrets(docs: DataFrame, model: RandomForestClassificationModel, path: str | None = None, votes: float = VOTES) -> DataFrame:
-    """All columns of ``docs``, and ``ls_found``: its candidates (value, lead, left, right, path, score, secret),
-    and ``ls_clean``: its text with secrets masked."""
+def find_secrets(docs: DataFrame, scanner: Scanner, path: str | None = None) -> DataFrame:
+    """(row, found, clean) of every row of ``docs``: the row itself, its candidates (value, lead, left, right, path,
+    score, secret), and its text with secrets masked."""
     lead = _sql("(?i)^" + LEAD)
     pattern = _sql("(?i)" + CANDIDATE)
-    where = f"coalesce(cast(`{path}` as string), '')" if path else "''"
-    hit = docs.withColumn("ls_hit", F.expr(f"coalesce(regexp_like(cast(`text` as string), {pattern}), false)"))
+    where = F.coalesce(docs[path].cast("string"), F.lit("")) if path else F.lit("")
+    base = docs.select(F.struct("*").alias("row"), docs["text"].cast("string").alias("text"), where.alias("path"))
+    hit = base.withColumn("hit", F.expr(f"coalesce(regexp_like(`text`, {pattern}), false)"))
     cut = hit.selectExpr(
-        "*", f"if(ls_hit, regexp_extract_all(`text`, {pattern}, 0), array()) as ls_raw",
-        f"if(ls_hit, split(`text`, {pattern}), array()) as ls_rest",
-    )
-    around = cut.withColumn("ls_seen", F.expr(f"""
-        transform(ls_raw, (x, i) -> named_struct(
+        "*", f"if(hit, regexp_extract_all(`text`, {pattern}, 0), array()) as raw", f"if(hit, split(`text`, {pattern}), array()) as rest"
+    )
+    around = cut.withColumn("seen", F.expr(f"""
+        transform(raw, (x, i) -> named_struct(
             'value', regexp_replace(x, {lead}, ''), 'lead', regexp_extract(x, {lead}, 0),
-            'left', concat(right(get(ls_rest, i), 40), regexp_extract(x, {lead}, 0)),
-            'right', left(get(ls_rest, i + 1), 20), 'path', {where}))"""))
-    fields = ", ".join(f"'{name}', {sql}" for name, sql in FEATURES.items())
-    measured = around.withColumn("ls_features", F.expr(f"transform(ls_seen, c -> named_struct({fields}))"))
-    scored = measured.withColumn("ls_scores", F.expr(f"transform(ls_features, f -> {forest_sql(model)})"))
-    found = scored.withColumn("ls_found", F.expr(f"""
-        transform(ls_seen, (c, i) -> named_struct('value', c.value, 'lead', c.lead, 'left', c.`left`, 'right', c.`right`,
-            'path', c.path, 'score', cast(get(ls_scores, i) as double), 'secret', get(ls_scores, i) >= {votes}D))"""))
+            'left', concat(right(get(rest, i), 40), regexp_extract(x, {lead}, 0)),
+            'right', left(get(rest, i + 1), 20), 'path', path))"""))
+    fields = ", ".join(f"'{name}', {sql}" for name, sql in features(scanner.lexicon).items())
+    measured = around.withColumn("features", F.expr(f"transform(seen, c -> named_struct({fields}))"))
+    scored = measured.withColumn("scores", F.expr(f"transform(features, f -> {forest_sql(scanner.model)})"))
+    found = scored.withColumn("found", F.expr(f"""
+        transform(seen, (c, i) -> named_struct('value', c.value, 'lead', c.lead, 'left', c.`left`, 'right', c.`right`,
+            'path', c.path, 'score', cast(get(scores, i) as double), 'secret', get(scores, i) >= {scanner.votes}D))"""))
     masked = F.expr(f"""
-        if(exists(ls_found, c -> c.secret), array_join(concat(array(get(ls_rest, 0)), transform(ls_found, (c, i) ->
-            concat(if(c.secret, concat(c.lead, '{MASK}'), get(ls_raw, i)), get(ls_rest, i + 1)))), ''), `text`)""")
-    return found.withColumn("ls_clean", masked).drop("ls_hit", "ls_raw", "ls_rest", "ls_seen", "ls_features", "ls_scores")
+        if(exists(found, c -> c.secret), array_join(concat(array(get(rest, 0)), transform(found, (c, i) ->
+            concat(if(c.secret, concat(c.lead, '{MASK}'), get(raw, i)), get(rest, i + 1)))), ''), `text`)""")
+    return found.select("row", "found", masked.alias("clean"))
 
 
-def scan_secrets(docs: DataFrame, path: str | None = "source") -> DataFrame:
+def scan_secrets(docs: DataFrame, scanner: Scanner, path: str | None = "source") -> DataFrame:
     """(doc_id, n_candidates, n_secrets, max_score, secrets, clean_sha256) of every document."""
-    model = train(labelled_findings(docs.sparkSession))
     own = docs.select("doc_id", "text", *[c for c in docs.columns if c == path])
-    found = find_secrets(own, model, path if path in docs.columns else None)
+    found = find_secrets(own, scanner, path if path in docs.columns else None)
     return found.selectExpr(
-        "cast(doc_id as long) as doc_id", "cast(size(ls_found) as long) as n_candidates",
-        "cast(size(filter(ls_found, c -> c.secret)) as long) as n_secrets",
-        "coalesce(array_max(transform(ls_found, c -> c.score)), 0D) as max_score",
-        "transform(filter(ls_found, c -> c.secret), c -> sha2(c.value, 256)) as secrets",
-        "sha2(coalesce(ls_clean, ''), 256) as clean_sha256",
+        "cast(`row`.doc_id as long) as doc_id", "cast(size(found) as long) as n_candidates",
+        "cast(size(filter(found, c -> c.secret)) as long) as n_secrets",
+        "coalesce(array_max(transform(found, c -> c.score)), 0D) as max_score",
+        "transform(filter(found, c -> c.secret), c -> sha2(c.value, 256)) as secrets",
+        "sha2(coalesce(clean, ''), 256) as clean_sha256",
     )
