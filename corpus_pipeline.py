@@ -6,8 +6,17 @@ secrets and keeps every document; BPE turns texts into token ids.  Each stage ta
 (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as
 the next one's ``docs``; all but the last return the columns they were given.
 
-Defined cases: null texts are rejected by the first stage; rows that repeat a doc_id
-with the same text are one document for near-dedup; an empty table stays empty.
+Near-dedup takes five words to a shingle and a similarity of 0.8; decontamination and the
+other stages take the values of the registered queries.
+
+Rows are told apart by doc_id and a 64-bit hash of the text, never by doc_id alone: what an
+operator says of one row moves no other row that repeats its id or has none either.
+
+Defined cases: null texts, and texts under 50 words, are rejected by the first stage; rows
+that repeat a doc_id (or its absence) and the text are one document from near-dedup on; of a
+group of near duplicates the row with the smallest doc_id stays, of equal ids the one with the
+smallest hash, and of a group without ids one row too; very long texts go through every stage
+whole; columns of any further names are carried along as they are; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstone.llm import bpe_trie, decontamination, near_dedup, quality_rules, secrets
-from loamstone.llm.common import materialise, table
+from loamstone.llm.common import mark, materialise, table
 from loamstone.llm.decontamination import small
 from loamstone.llm.queries import tokenizer
 
 
+#: Words of a shingle, and the percentage of common shingles from which documents are near duplicates.
+SHINGLE, PERCENT = 5, 80
 #: Words that the last stage's workers remember: fewer than alone, as earlier stages fill the executors' heaps.
 CACHE_WORDS = 150_000
 
@@ -35,28 +46,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    kept = materialise(near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")), "kept-ids")
-    ids = kept.distinct()
-    rows = docs.join(small(ids), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows if kept.count() == ids.count() else rows.dropDuplicates(["doc_id", "text"])
+    found = near_dedup.near_groups(docs, PERCENT, SHINGLE)
+    kept = materialise(near_dedup.survivors(found), "kept-rows")
+    own = docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (mark(docs["text"]) == kept["kept_mark"])
+    rows = docs.join(small(kept), own, "left_semi")
+    again = found.groupBy("doc_id", "mark").agg(F.count("*").alias("rows")).filter("rows > 1")
+    return rows if again.isEmpty() else rows.dropDuplicates(["doc_id", "text"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
-    bad = materialise(found.select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated-ids")
-    return docs.join(small(bad), docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    found = decontamination.marked_contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
+    bad = materialise(found.select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_mark")).distinct(), "contaminated-rows")
+    own = docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (mark(docs["text"]) == bad["bad_mark"])
+    return docs.join(small(bad), own, "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in their texts."""
-    model = secrets.train(secrets.labelled_findings(spark))
-    found = secrets.find_secrets(docs, model, "source" if "source" in docs.columns else None)
-    changed = ~found["ls_clean"].eqNullSafe(found["text"])
-    new = {"text": F.col("ls_clean")}
+    scanner = secrets.Scanner.trained(spark, tokenizer("word_bpe_49k.json"))
+    found = secrets.find_secrets(docs, scanner, "source" if "source" in docs.columns else None)
+    row, clean = found["row"], found["clean"]
+    new = {"text": clean}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("ls_clean").cast("long")).otherwise(F.col("n_chars"))
-    return found.select(*[new[c].alias(c) if c in new else found[c] for c in docs.columns])
+        new["n_chars"] = F.when(clean.eqNullSafe(row["text"]), row["n_chars"]).otherwise(F.length(clean).cast("long"))
+    return found.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
