@@ -33,13 +33,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, mark, materialise, texts
+from .common import NON_WORD, lookup, mark, materialise, small, texts
 
 WINDOW = 13
-#: Rows that may be broadcast: about 32 MB of terms or ids.
-BROADCAST_ROWS = 500_000
-#: Tasks that share the rows of one key where the other side is too large to be broadcast.
-PARTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,26 +46,6 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(low, f"[{NON_WORD}]+"), "")
 
 
-def fits(df: DataFrame) -> bool:
-    """Whether ``df`` is counted to be small enough for broadcast."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-
-def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it is small enough, else as it is."""
-    return F.broadcast(df) if fits(df) else df
-
-
-def lookup(rows: DataFrame, table: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``table``: by broadcast if that is small enough; else rows of one key are dealt over
-    ``PARTS`` tasks by the hash of ``by``, and ``table`` goes to each of them."""
-    if fits(table):
-        return rows.join(F.broadcast(table), on, how)
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64(*by), F.lit(PARTS)).cast("int"))
-    copies = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return dealt.join(copies, [*on, "part"], how).drop("part")
-
-
 @dataclass
 class PositionalIndex:
     """postings(rid, pos, term) and lengths(rid, doc_id, mark, n_words), both on disk."""

@@ -4,8 +4,9 @@ Each task first runs union-find over blocks of its edges and passes on only a
 spanning forest.  What is left is joined: every node takes the smallest label
 around it, then the label of its label, until nothing changes, which needs about
 the logarithm of a component's diameter in rounds.  All rounds are equi-joins and
-map-side combined minima, so a hub with very many edges is no problem, nothing is
-collected, and each round is written to the shared folder.
+map-side combined minima; where a hub has more than ``PART`` edges, or a label so many
+nodes, they are dealt over several tasks.  Nothing is collected, and each round is written
+to the shared folder.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise
+from .common import dealt, hot_keys, in_each_part, map_arrow, materialise
 
 #: Edges that one union-find holds.
 BLOCK = 200_000
+#: Rows of one key that one task joins.
+PART = 200_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,17 +62,22 @@ def components(edges: DataFrame) -> DataFrame:
         .select("node", F.least("node", "near").alias("label")),
         "labels",
     )
+    many = labels.count() > PART
+    hubs = hot_keys(both, "b", PART) if many else None
+    spread = dealt(both, hubs, "b", "a") if many else both.withColumn("part", F.lit(0))
     while True:
-        seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        known = labels.withColumnRenamed("node", "b")
+        known = in_each_part(known, hubs, "b") if many else known.withColumn("part", F.lit(0))
+        seen = spread.join(known, ["b", "part"]).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(seen, labels["node"] == seen["a"]).select(
             "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
         )
         lower = materialise(lower, "lower")
-        above = lower.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
-        new = materialise(
-            lower.join(above, lower["label"] == above["up"]).select("node", "old", F.least("label", "up_label").alias("label")),
-            "labels",
-        )
+        above = lower.select(F.col("node").alias("label"), F.col("label").alias("up_label"))
+        roots = hot_keys(lower, "label", PART) if many else None
+        left = dealt(lower, roots, "label", "node") if many else lower.withColumn("part", F.lit(0))
+        above = in_each_part(above, roots, "label") if many else above.withColumn("part", F.lit(0))
+        new = materialise(left.join(above, ["label", "part"]).select("node", "old", F.least("label", "up_label").alias("label")), "labels")
         labels = new.select("node", "label")
         if new.filter(F.col("label") != F.col("old")).isEmpty():
             return labels

@@ -43,8 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_arrow, mark, materialise, texts
-from .decontamination import small
+from .common import chunks, dealt, hot_keys, in_each_part, map_arrow, mark, materialise, small, texts
 from .graph import components
 
 SHINGLE = 3
@@ -216,24 +215,6 @@ def _full_sets(shingle: int):
     return work
 
 
-def hot_keys(rows: DataFrame, key: str, per: int) -> DataFrame:
-    """(key, parts) of keys with more than ``per`` rows: in how many parts to deal them."""
-    counted = rows.groupBy(key).agg(F.count("*").alias("rows")).filter(F.col("rows") > per)
-    return materialise(counted.select(key, F.ceil(F.col("rows") / per).cast("int").alias("parts")), "hot")
-
-
-def dealt(rows: DataFrame, hot: DataFrame, key: str, by: str) -> DataFrame:
-    """``rows`` with ``part``: rows of a hot key are dealt over its parts by the hash of ``by``, others have part 0."""
-    found = rows.join(small(hot), key, "left")
-    return found.withColumn("part", F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
-
-
-def in_each_part(rows: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """``rows`` with ``part``: rows of a hot key once for each of its parts."""
-    found = rows.join(small(hot), key, "left")
-    return found.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")
-
-
 class NearDuplicates:
     """The stages of one run; :meth:`groups` is the result."""
 

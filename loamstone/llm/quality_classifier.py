@@ -32,8 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_arrow, materialise, texts
-from .decontamination import small
+from .common import chunks, map_arrow, materialise, small, texts
 
 FIT_ROWS = 3000
 FIT_PAIRS = 40_000

@@ -228,7 +228,9 @@ def test_estimate_is_close():
     assert abs((x == y).mean() - 0.8) < 0.06
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [graph.PART, 5])
+def test_components(spark, part, monkeypatch):
+    monkeypatch.setattr(graph, "PART", part)
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (200, 300)] + [(500, 501 + k) for k in range(50)]
     random.Random(1).shuffle(edges)
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loamstone.llm import decontamination, licenses, quality_classifier, quality_rules, secrets, sharding
+from loamstone.llm import common, decontamination, licenses, quality_classifier, quality_rules, secrets, sharding
 from loamstone.llm.common import WORD_TABLE
 
 from .conftest import make
@@ -66,8 +66,8 @@ def test_contamination(spark, odd, docs, empty, data):
 
 
 def test_contamination_without_broadcast(spark, docs, data, monkeypatch):
-    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(decontamination, "PARTS", 3)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "PARTS", 3)
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
     assert rows_of(decontamination.contamination(docs, bench)) == contaminated(texts_of(docs), [(r["item_id"], r["text"]) for r in bench.collect()])
 
