@@ -27,8 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstone.llm import bpe_trie, decontamination, near_dedup, quality_rules, secrets
-from loamstone.llm.common import mark, materialise, table
-from loamstone.llm.decontamination import small
+from loamstone.llm.common import mark, materialise, small, table
 from loamstone.llm.queries import tokenizer
 
 
