@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import evaluation, generation, retrieval
+from ..operators import embedding, evaluation, generation, postings, retrieval
+from ..scratch import materialise, scratch
 from . import views
 
 SMALL = "abcdefghijklmnopqrstuvwxyz"
@@ -37,13 +37,13 @@ def _six(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.sparse(views.benchmark_queries(spark, sf_dir), views.document_chunks(spark, sf_dir), 5)
+    found = retrieval.sparse(views.benchmark_queries(spark, sf_dir), views.document_chunks(spark, sf_dir), 5, index=views.document_index(spark, sf_dir))
     return _six(found, "score").select("query_id", "rank", "chunk_id", "score")
 
 
 def scoped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     scope = views.table(spark, sf_dir, "documents").filter("source in ('src1', 'src2', 'src3')").select(F.col("source").alias("document_id")).distinct()
-    found = retrieval.sparse(views.benchmark_queries(spark, sf_dir), views.document_chunks(spark, sf_dir), 5, scope)
+    found = retrieval.sparse(views.benchmark_queries(spark, sf_dir), views.document_chunks(spark, sf_dir), 5, scope, views.document_index(spark, sf_dir))
     return _six(found, "score").select("query_id", "rank", "chunk_id", "document_id", "score")
 
 
@@ -68,7 +68,7 @@ def _paired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = _paired(spark, sf_dir)
-    found = retrieval.hybrid(q, c, 5, 10)
+    found = retrieval.hybrid(q, c, 5, 10, index=views.document_index(spark, sf_dir))
     return _six(found, "score").select("query_id", "rank", "chunk_id", "score")
 
 
@@ -85,7 +85,7 @@ HYBRID = f"""with {TERMS}, {ASKED}, {SCORES.format(where='')},
 def rrf_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion of BM25 ranks and reranked ranks under several constants."""
     q, c = views.benchmark_queries(spark, sf_dir), views.document_chunks(spark, sf_dir)
-    first = retrieval.sparse(q, c, 20)
+    first = materialise(retrieval.sparse(q, c, 20, index=views.document_index(spark, sf_dir)), "first")
     second = retrieval.rerank(q, first, 20)
     lists = retrieval.numbered(first, second)
     out = None
@@ -104,13 +104,13 @@ RERANKED = f"""{BM25} {TOP.format(name='cand', src='scores', k='{n}')}, {OVERLAP
 
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = views.benchmark_queries(spark, sf_dir), views.document_chunks(spark, sf_dir)
-    found = retrieval.rerank(q, retrieval.sparse(q, c, 10), 5)
+    found = retrieval.rerank(q, retrieval.sparse(q, c, 10, index=views.document_index(spark, sf_dir)), 5)
     return _six(found, "score").select("query_id", "rank", "chunk_id", "score")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = views.benchmark_queries(spark, sf_dir), views.document_chunks(spark, sf_dir)
-    first = retrieval.sparse(q, c, 10)
+    first = materialise(retrieval.sparse(q, c, 10, index=views.document_index(spark, sf_dir)), "first")
     fused = retrieval.reciprocal_rank_fusion(retrieval.numbered(first, retrieval.rerank(q, first, 10)), 5)
     return _six(retrieval.with_chunks(fused, c), "score").select("query_id", "rank", "chunk_id", "document_id", "score")
 
@@ -124,8 +124,7 @@ def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_query_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, c = views.benchmark_queries(spark, sf_dir), views.document_chunks(spark, sf_dir)
-    index = retrieval.build_index(c)
+    q, index = views.benchmark_queries(spark, sf_dir), views.document_index(spark, sf_dir)
     search = lambda asked: retrieval.ranked(retrieval.bm25_scores(asked, index), 5)
     return _six(retrieval.multi_query(q, _halves(spark, sf_dir), search, 5), "score").select("query_id", "rank", "chunk_id", "score")
 
@@ -166,7 +165,7 @@ METRICS = f"""with {COS.format(where='')}, {TOP.format(name='res', src='sims', k
 
 def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = views.benchmark_queries(spark, sf_dir), views.document_chunks(spark, sf_dir)
-    answers = generation.grounded_answers(q, retrieval.sparse(q, c, 3))
+    answers = generation.grounded_answers(q, retrieval.sparse(q, c, 3, index=views.document_index(spark, sf_dir)))
     return answers.select("query_id", F.sha2(F.col("answer").cast("binary"), 256).alias("answer_sha256"), F.size("citations").alias("n_citations"),
                           F.array_join(F.transform("citations", lambda x: x["chunk_id"]), ",").alias("cited"))
 
@@ -211,15 +210,36 @@ def query_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dimension_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.size("embedding")
-    return views.table(spark, sf_dir, "embeddings").agg(F.min(size).alias("low"), F.max(size).alias("high"), F.count_distinct(size).alias("sizes"))
+    """The one size of all vectors, as the collection is checked for it."""
+    vectors = views.table(spark, sf_dir, "embeddings")
+    return vectors.agg(F.count("*").alias("vectors")).withColumn("size", F.lit(embedding.vector_size(vectors)))
 
 
 def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document and collection frequency of every term: the index's own statistics."""
-    words = views.document_chunks(spark, sf_dir).select("chunk_id", F.explode(T.terms(F.col("content"))).alias("term"))
-    per = words.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-    return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("uses"))
+    """Document and collection frequency of every term: the stored index's own statistics."""
+    return postings.frequencies(views.document_index(spark, sf_dir).postings())
+
+
+def postings_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of half the documents, one source replaced by other texts, one deleted, the rest filled in: terms and figures."""
+    index = postings.PostingIndex(spark, scratch(spark, "filled"))
+    chunks = views.document_chunks(spark, sf_dir).filter("document_id is null or document_id <> 'src5'")
+    chunks = chunks.withColumn("content", F.when(F.col("document_id") == "src3", F.concat("content", F.lit(" Zusatz zusatz"))).otherwise(F.col("content")))
+    half = views.document_chunks(spark, sf_dir).filter("cast(chunk_id as long) % 2 = 0")
+    index.backfill(half)
+    index.replace_documents(chunks.filter("document_id = 'src3' and cast(chunk_id as long) % 3 = 0"))
+    index.delete_documents(spark.createDataFrame([("src5",), ("unheard of",)], "document_id string"))
+    index.backfill(chunks)
+    n, mean = index.figures()
+    whole = spark.range(1).select(F.lit("").alias("term"), F.lit(n).cast("long").alias("df"), F.lit(round(n * mean)).cast("long").alias("uses"))
+    return postings.frequencies(index.postings()).unionByName(whole)
+
+
+BACKFILL = r"""with texts as (select doc_id, case when source = 'src3' then coalesce(text, '') || ' Zusatz zusatz' else coalesce(text, '') end as t from documents where source is null or source <> 'src5'),
+ words as (select doc_id, unnest(string_split_regex(lower(t), '[^\p{L}\p{N}]+')) as term from texts),
+ post as (select term, doc_id, count(*) as tf from words where term <> '' group by all)
+ select term, count(*) as df, cast(sum(tf) as bigint) as uses from post group by 1
+ union all select '', (select count(*) from texts), cast(coalesce(sum(tf), 0) as bigint) from post"""
 
 
 QUERIES = {
@@ -238,6 +258,7 @@ QUERIES = {
     "answer_context": (answer_context, ANSWERS),
     "citation_validation": (citation_validation, CITATIONS),
     "query_cleanup": (query_cleanup, "select cast(item_id as varchar) as query_id, trim(text) as text from benchmark"),
-    "dimension_check": (dimension_check, "select min(len(embedding)) as low, max(len(embedding)) as high, count(distinct len(embedding)) as sizes from embeddings"),
+    "dimension_check": (dimension_check, "select count(*) as vectors, cast(case when min(len(embedding)) = max(len(embedding)) then min(len(embedding)) end as int) as size from embeddings"),
     "term_counts": (term_counts, f"with {TERMS} select term, count(*) as df, cast(sum(tf) as bigint) as uses from post group by 1"),
+    "postings_backfill": (postings_backfill, BACKFILL),
 }

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators.postings import PostingIndex
+from ..scratch import fixed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +25,17 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_index(spark: SparkSession, sf_dir: str) -> PostingIndex:
+    """The stored index of :func:`document_chunks`: made once in this application for a state of the table's files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    state = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
+    index = PostingIndex(spark, fixed(spark, f"index-{hashlib.sha256(repr(state).encode()).hexdigest()[:24]}"))
+    if not index.exists():
+        index.backfill(document_chunks(spark, sf_dir))
+    return index
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
 
