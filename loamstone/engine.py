@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from .errors import InvalidArgument, NotFound
 from .functions.paths import safe_name
 from .operators import embedding, generation, graph, retrieval
+from .operators.postings import PostingIndex
 from .operators.store import Store, latest
+from .scratch import materialise
 from .session import Settings
+from .sources.media import Plugins
 from .sources.registry import require_supported, source_type
 from .streaming.ingest import ingest
 
@@ -31,6 +34,7 @@ class Engine:
     provider: embedding.EmbeddingProvider = field(default_factory=embedding.HashingEmbedder)
     rewrite: Callable | None = None
     rerank: Callable | None = None
+    plugins: Plugins = field(default_factory=Plugins)
 
     # ---- documents ----
 
@@ -43,43 +47,59 @@ class Engine:
             raise InvalidArgument("a file is over the upload limit")
         kept = files.select(F.sha2("path", 256).alias("document_id"), safe_name(F.col("path")).alias("name"), "path", "content")
         self.store.replace_documents("files", kept)
-        ids = [r["document_id"] for r in kept.select("document_id").orderBy("document_id").collect()]
-        for i in ids:
-            self.store.set_status(i, "pending")
-            if chat_id:
-                self.store.attach(chat_id, i)
-        return ids
+        ids = kept.select("document_id")
+        self.store.set_statuses(ids.withColumns({"status": F.lit("pending"), "error": F.lit(None).cast("string")}))
+        if chat_id:
+            self.store.attach_all(chat_id, ids)
+        return [r["document_id"] for r in ids.orderBy("document_id").collect()]  # what the caller gave, as ids
 
     def process(self) -> dict[str, int]:
-        """All pending documents through ingestion and indexing, as one batch."""
+        """All pending documents through ingestion and indexing, as one batch; unreadable ones fail by themselves."""
         states = latest(self.store.read("document_states"), "document_id")
-        pending = states.filter("status = 'pending'").select("document_id")
-        files = self.store.read("files").join(pending, "document_id", "left_semi")
-        ids = [r["document_id"] for r in files.select("document_id").collect()]
-        if not ids:
+        pending = materialise(states.filter("status = 'pending'").select("document_id"), "pending")
+        if pending.isEmpty():
             return {}
-        for i in ids:
-            self.store.set_status(i, "processing")
+        files = self.store.read("files").join(pending, "document_id", "left_semi")
+        none = F.lit(None).cast("string")
+        self.store.set_statuses(pending.withColumns({"status": F.lit("processing"), "error": none}))
         try:
-            counts = ingest(self.store, files, self.settings.chunk_size, self.settings.chunk_overlap)
-            self.index(files.select("document_id"))
+            counts = ingest(self.store, files, self.settings.chunk_size, self.settings.chunk_overlap, self.plugins)
+            self.index(pending)
         except Exception as e:
-            for i in ids:
-                self.store.set_status(i, "failed", str(e)[:500])
+            self.store.set_statuses(pending.withColumns({"status": F.lit("failed"), "error": F.lit(str(e)[:500])}))
             raise
-        for i in ids:
-            self.store.set_status(i, "completed")
+        metadata = F.col("metadata")
+        done = self.store.read("documents").join(pending, "document_id", "left_semi")
+        self.store.set_statuses(done.select("document_id", metadata["processing_status"].alias("status"), metadata["error"].alias("error")))
         return counts
 
+    @property
+    def postings(self) -> PostingIndex:
+        """The stored inverted index beside the vectors."""
+        return PostingIndex(self.spark, f"{self.store.root}/_postings")
+
     def index(self, ids: DataFrame | None = None) -> int:
-        """Vectors for the chunks of some documents, or of all; returns how many."""
+        """Vectors and postings for the chunks of some documents, or of all; returns how many chunks."""
         chunks = self.store.read("chunks")
         own = chunks if ids is None else chunks.join(ids.distinct(), "document_id", "left_semi")
-        vectors = embedding.embed_chunks(own, self.provider).select("chunk_id", "document_id", "embedding")
-        self.store.replace_documents("vectors", vectors, own if ids is None else ids)
-        embedding.vector_size(self.store.read("vectors"))
+        gone = own.select("document_id") if ids is None else ids
+        vectors = materialise(embedding.embed_chunks(own, self.provider).select("chunk_id", "document_id", "embedding"), "vectors")
+        size, known = embedding.vector_size(vectors), self.vector_size()
+        if size is not None and known is not None and size != known:
+            raise InvalidArgument("vectors differ in size from those stored")
+        self.store.replace_documents("vectors", vectors, gone)
+        self.postings.replace_documents(own, gone)
         return own.count()
 
+    def vector_size(self) -> int | None:
+        """The size of stored vectors, from one of them; None without any."""
+        row = self.store.read("vectors").select(F.size("embedding").alias("size")).first() if self.store.exists("vectors") else None
+        return row["size"] if row else None
+
+    def backfill(self) -> int:
+        """Postings for chunks that have none, checked to be complete; returns how many were added."""
+        return self.postings.backfill(self.store.read("chunks"))
+
     def document(self, document_id: str) -> dict:
         """One document with its state and display name."""
         found = self.store.read("files").filter(F.col("document_id") == document_id).select("document_id", "name", source_type(F.col("path")).alias("source_type")).first()
@@ -92,8 +112,8 @@ class Engine:
         self.store.retry(document_id)
 
     def delete(self, document_id: str) -> None:
-        for name in ("vectors", "chunks", "relationships", "elements", "documents"):
-            self.store.delete_document(name, document_id)
+        self.store.delete_documents([document_id], "vectors", "chunks", "relationships", "elements", "documents")
+        self.postings.delete_documents(self.spark.createDataFrame([(document_id,)], "document_id string"))
 
     # ---- questions ----
 
@@ -112,7 +132,7 @@ class Engine:
         asked = self._asked(queries, top_k)
         chunks = self.store.read("chunks").join(self.store.read("vectors").select("chunk_id", "embedding"), "chunk_id")
         wanted = max(top_k, self.settings.candidate_k) if self.rerank else top_k
-        found = retrieval.hybrid(asked, chunks, wanted, max(wanted, self.settings.candidate_k), self.settings.rrf_k, scope)
+        found = retrieval.hybrid(asked, chunks, wanted, max(wanted, self.settings.candidate_k), self.settings.rrf_k, scope, self.postings)
         if self.rerank:
             found = retrieval.rerank(asked, found, top_k, self.rerank)
         result = found.withColumn("result_id", F.concat_ws("/", "query_id", "chunk_id"))
@@ -134,7 +154,7 @@ class Engine:
         self.store.chat(chat_id)
         if not self.store.exists("chat_documents"):
             return self.spark.createDataFrame([], "document_id string")
-        return retrieval.chat_scope(self.store.read("chat_documents"), chat_id)
+        return retrieval.chat_scope(self.store.links(), chat_id)
 
     def chat_search(self, chat_id: str, query: str, top_k: int = 5) -> DataFrame:
         """Search in the chat's documents; a chat without documents finds nothing."""

@@ -135,6 +135,12 @@ def promoted(metadata: Sequence[dict]) -> dict:
     return {k: next(iter(v.values())) for k, v in values.items() if len(v) == 1}
 
 
+def agreed(rows: DataFrame, *groups: str) -> DataFrame:
+    """(groups, key, value) of ``rows(groups, key, value)``: the same rule over tables, missing values aside."""
+    found = rows.filter("value is not null").groupBy(*groups, "key").agg(F.min("value").alias("value"), F.max("value").alias("top"))
+    return found.filter("value = top").drop("top")
+
+
 def chunk_one(document_id: str, elements: list[dict], edges: list[dict], size: int, overlap: int) -> list[tuple]:
     """Chunk rows of one document."""
     chunkable = {e["element_id"]: e for e in elements if e["content_kind"] in ("text", "table")}

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import STRONG_EDGES
+from ..scratch import materialise
+
+#: Edges from which on hot nodes are dealt over several tasks, and over how many.
+MANY, PARTS = 5_000_000, 16
 
 
 def strong(relationships: DataFrame) -> DataFrame:
@@ -32,29 +36,35 @@ def groups(elements: DataFrame, relationships: DataFrame) -> DataFrame:
 
     Labels fall to the smallest ordinal around until nothing changes; each round jumps to
     the label of the label, so rounds grow with the logarithm of a component's diameter.
-    Every round is checkpointed to the session's checkpoint folder.
+    Every round is written to the shared folder.  Rows of one label, or of one hub, are dealt
+    over ``PARTS`` tasks once a graph has more than ``MANY`` edges.
     """
-    spark = elements.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/loamstone-checkpoints"))
     own = elements.filter(F.col("content_kind").isin("text", "table")).select("document_id", "element_id", F.col("ordinal").alias("label"))
     ids = own.select("document_id", "element_id", F.col("label").alias("n"))
     edge = strong(relationships).select("document_id", F.col("source_element_id").alias("a"), F.col("target_element_id").alias("b"))
     a = ids.select("document_id", F.col("element_id").alias("a"), F.col("n").alias("na"))
     b = ids.select("document_id", F.col("element_id").alias("b"), F.col("n").alias("nb"))
     numbered = edge.join(a, ["document_id", "a"]).join(b, ["document_id", "b"])
-    both = numbered.select("document_id", "na", "nb").union(numbered.select("document_id", "nb", "na")).distinct().checkpoint()
-    labels = ids.select("document_id", "n", F.col("n").alias("label")).checkpoint()
+    both = materialise(numbered.select("document_id", "na", "nb").union(numbered.select("document_id", "nb", "na")).distinct(), "edges")
+    parts = PARTS if both.limit(MANY + 1).count() > MANY else 1
+    dealt = lambda df, by: df.withColumn("part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    copied = lambda df: df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # only nodes with an edge take part in the rounds
+    labels = materialise(both.select("document_id", F.col("na").alias("n")).distinct().withColumn("label", F.col("n")), "labels")
+    ways = dealt(both, "na")
     while True:
-        around = both.join(labels.select("document_id", F.col("n").alias("nb"), F.col("label").alias("near")), ["document_id", "nb"])
+        around = ways.join(copied(labels.select("document_id", F.col("n").alias("nb"), F.col("label").alias("near"))), ["document_id", "nb", "part"])
         low = around.groupBy("document_id", F.col("na").alias("n")).agg(F.min("near").alias("near"))
-        lower = labels.join(low, ["document_id", "n"], "left").select("document_id", "n", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        up = lower.select("document_id", F.col("n").alias("label"), F.col("label").alias("above"))
-        new = lower.join(up, ["document_id", "label"], "left").select("document_id", "n", "old", F.coalesce("above", "label").alias("label")).checkpoint()
+        lower = labels.join(low, ["document_id", "n"]).select("document_id", "n", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        lower = materialise(lower, "lower")
+        up = copied(lower.select("document_id", F.col("n").alias("label"), F.col("label").alias("above")))
+        new = dealt(lower, "n").join(up, ["document_id", "label", "part"]).select("document_id", "n", "old", F.col("above").alias("label"))
+        new = materialise(new, "labels")
         labels = new.select("document_id", "n", "label")
         if new.filter("label <> old").isEmpty():
             break
-    return ids.join(labels, ["document_id", "n"]).select("document_id", "element_id", F.col("n").alias("ordinal"), F.col("label").alias("group"))
+    joined = ids.join(labels, ["document_id", "n"], "left")
+    return joined.select("document_id", "element_id", F.col("n").alias("ordinal"), F.coalesce("label", "n").alias("group"))
 
 
 def expand(seeds: DataFrame, relationships: DataFrame, elements: DataFrame, max_hops: int = 1) -> DataFrame:

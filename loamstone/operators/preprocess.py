@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import metadata as M
 from ..functions import text as T
+from ..scratch import materialise
 
 
 def invalid_reason() -> Column:
@@ -24,8 +26,16 @@ def invalid_reason() -> Column:
 
 
 def normalize_elements(elements: DataFrame) -> DataFrame:
+    """Texts of text and table elements, and the known keys of every element's metadata, made uniform."""
     textual = F.col("content_kind").isin("text", "table")
-    return elements.withColumn("text", F.when(textual, T.normalize_text("text")).otherwise(F.col("text")))
+    clean = elements.withColumn("text", F.when(textual, T.normalize_text("text")).otherwise(F.col("text")))
+    return clean.withColumn("metadata", M.normalize_json(F.col("metadata"))) if "metadata" in elements.columns else clean
+
+
+def normalize_edges(relationships: DataFrame) -> DataFrame:
+    if "metadata" not in relationships.columns:
+        return relationships
+    return relationships.withColumn("metadata", M.normalize_json(F.col("metadata")))
 
 
 def valid_elements(elements: DataFrame) -> DataFrame:
@@ -54,9 +64,14 @@ def reconcile(relationships: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def preprocess(elements: DataFrame, relationships: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The whole chain; running it twice changes nothing more."""
-    clean = deduplicate(valid_elements(normalize_elements(elements)))
-    return clean, reconcile(relationships, clean)
+    """The whole chain; running it twice changes nothing more.
+
+    Normalised elements are written once, and so are those that stay, as the steps behind
+    each read them several times.
+    """
+    valid = materialise(valid_elements(normalize_elements(elements)), "valid")
+    clean = materialise(deduplicate(valid), "clean")
+    return clean, reconcile(normalize_edges(relationships), clean)
 
 
 def attach_orphans(elements: DataFrame, relationships: DataFrame, root: str = "document") -> DataFrame:

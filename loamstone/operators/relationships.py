@@ -36,24 +36,39 @@ def spatial_edges(boxes: DataFrame, vertical: float = SPATIAL_GAP, horizontal: f
     """Both directions between boxes of one document that are near each other on one page and slide.
 
     Boxes are dealt to grid cells a little larger than the gaps, so that a box meets its
-    neighbours only; an unknown page or slide goes with any.
+    neighbours only; an unknown page or slide goes with any.  Page and slide are part of the
+    join's key wherever both boxes know them: each box is dealt once for each kind of partner
+    (page known or not, slide known or not) that there is, which is one kind as a rule.  A pair
+    is taken from the first cell that both share, so none comes twice.
     """
     size = 4 * max(vertical, horizontal)
     b = F.col("bbox")
-    cells = lambda low, high, more: F.sequence(F.floor((low - more) / size), F.floor((high + more) / size))
-    def celled(more_x: float, more_y: float) -> DataFrame:
-        return boxes.withColumn("cx", F.explode(cells(b["x0"], b["x1"], more_x))).withColumn("cy", F.explode(cells(b["y0"], b["y1"], more_y)))
-
-    left = celled(horizontal, vertical).alias("a")
-    right = celled(0.0, 0.0).alias("b")
-    agree = lambda c: F.col(f"a.{c}").isNull() | F.col(f"b.{c}").isNull() | (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    same = (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
-    pairs = left.join(right, same & (F.col("a.ordinal") < F.col("b.ordinal")) & agree("page_number") & agree("slide_number")
-                      & G.near(F.col("a.bbox"), F.col("b.bbox"), vertical, horizontal))
+    own = F.col("page_number").isNotNull().cast("int") * 2 + F.col("slide_number").isNotNull().cast("int")
+    kinds = sorted(r["kind"] for r in boxes.select(own.alias("kind")).distinct().collect())  # four at most
+
+    def dealt(more_x: float, more_y: float, mine: str, theirs: str) -> DataFrame:
+        low = lambda v, more: F.floor((v - more) / size)
+        high = lambda v, more: F.floor((v + more) / size)
+        cells = boxes.select(
+            "document_id", "element_id", "ordinal", "bbox", "page_number", "slide_number", own.alias(mine),
+            F.explode(F.array(*map(F.lit, kinds)) if kinds else F.array().cast("array<int>")).alias(theirs),
+            low(b["x0"], more_x).alias("first_x"), low(b["y0"], more_y).alias("first_y"),
+        )
+        shared = lambda c, bit: F.when((F.col(mine).bitwiseAND(F.col(theirs)).bitwiseAND(bit)) > 0, F.col(c)).otherwise(-1)
+        cells = cells.withColumns({"page": shared("page_number", 2), "slide": shared("slide_number", 1)})
+        cells = cells.withColumn("cx", F.explode(F.sequence("first_x", high(b["x1"], more_x))))
+        return cells.withColumn("cy", F.explode(F.sequence("first_y", high(b["y1"], more_y)))).drop("page_number", "slide_number")
+
+    left, right = dealt(horizontal, vertical, "kind_a", "kind_b").alias("a"), dealt(0.0, 0.0, "kind_b", "kind_a").alias("b")
+    same = F.lit(True)
+    for c in ("document_id", "cx", "cy", "kind_a", "kind_b", "page", "slide"):
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    once = (F.col("a.cx") == F.greatest("a.first_x", "b.first_x")) & (F.col("a.cy") == F.greatest("a.first_y", "b.first_y"))
+    pairs = left.join(right, same & once & (F.col("a.ordinal") < F.col("b.ordinal")) & G.near(F.col("a.bbox"), F.col("b.bbox"), vertical, horizontal))
     one = pairs.select(
         F.col("a.document_id").alias("document_id"), F.col("a.element_id").alias("s"), F.col("b.element_id").alias("t"),
         F.round(G.distance(F.col("a.bbox"), F.col("b.bbox")), 6).alias("distance"),
-    ).distinct()
+    )
     both = F.explode(F.array(F.struct(F.col("s").alias("source_element_id"), F.col("t").alias("target_element_id")),
                              F.struct(F.col("t").alias("source_element_id"), F.col("s").alias("target_element_id"))))
     return one.select("document_id", "distance", both.alias("e")).select("document_id", "e.*", F.lit("spatially_adjacent").alias("relationship_type"), "distance")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metadata as M
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import chunking, preprocess, store
+from ..schema import ROLES
 from ..sources import captions, html, loaded, plain, registry
 from . import views
 
@@ -51,6 +52,31 @@ def chunked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chunk_id", "document_id", "chunk_index", F.length("content").alias("size"))
 
 
+def chunk_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document's chunks: which elements they hold, whether indices run on, whether sizes and groups are kept."""
+    elements = preprocess.valid_elements(views.elements(spark, sf_dir))
+    edges = preprocess.reconcile(views.chain_edges(spark, sf_dir), elements)
+    found = chunking.chunk_documents(elements, edges)
+    ids = F.from_json(M.get_text(F.col("metadata"), "element_ids"), "array<string>")
+    own = found.select("document_id", "chunk_index", F.length("content").alias("size"), ids.alias("ids"))
+    whole = own.groupBy("document_id").agg(F.max("size").alias("most"), F.max("chunk_index").alias("last"), F.count("*").alias("chunks"))
+    held = own.select("document_id", F.explode("ids").alias("full")).distinct()
+    held = held.select("document_id", F.expr("cast(substring(full, length(document_id) + 2) as long)").alias("n"))
+    listed = held.groupBy("document_id").agg(F.count("*").alias("elements"), F.sha2(F.array_join(F.array_sort(F.collect_list("n")).cast("array<string>"), ",").cast("binary"), 256).alias("elements_sha256"))
+    return whole.join(listed, "document_id").select("document_id", "elements", "elements_sha256", (F.col("most") <= 1000).alias("fits"), (F.col("last") + 1 == F.col("chunks")).alias("counted"))
+
+
+CHUNKED = f"""with el as (select source, doc_id, {STRIP.format("coalesce(text, '')")} as t from documents where doc_id % 11 = 0 or doc_id % 13 <> 0)
+ select source as document_id, count(*) as elements, sha256(string_agg(cast(doc_id as varchar), ',' order by doc_id)) as elements_sha256, true as fits, true as counted from el where t <> '' group by 1"""
+
+
+def split_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces without overlap: together they hold every character of the text but white space, none is too long."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", chunking.split_column(F.col("text"), 200, 0).alias("pieces"))
+    bare = F.regexp_replace(F.array_join("pieces", ""), r"(?U)[\s\x1c-\x1f]+", "")
+    return docs.select("doc_id", F.sha2(bare.cast("binary"), 256).alias("text_sha256"), F.forall("pieces", lambda x: F.length(x) <= 200).alias("fits"))
+
+
 def split_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(chunking.split_column(F.col("text"))).alias("piece", "content")).select("doc_id", "piece", F.length("content").alias("size"))
@@ -65,6 +91,21 @@ def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.select("document_id", "ordinal", "element_id", "element_type", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+PLAIN = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
+STRINGS = "array_to_string(list_filter(list_transform(string_split_regex({}, '<[^>]*>'), lambda x: trim(" + PLAIN.format("x") + ", chr(32) || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), ' ')"
+HTML_ELEMENTS = rf"""with c as (select page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|template)\b.*?</(script|style|noscript|template)>', '', 'g'), '(?s)<!--.*?-->', '<!>', 'g') as h from pages),
+ p as (select page_id, regexp_extract_all(h, '<li><a href="[^"]+">([^<]*)</a></li>', 1) as li, string_split(regexp_extract(h, '(?s)<article>(.*)</article>', 1), '<p>') as parts from c),
+ nav as (select page_id, unnest(li) as x, unnest(range(1, len(li) + 1)) as i from p),
+ para as (select page_id, len(li) as n, parts, unnest(range(2, len(parts) + 1)) as k from p),
+ said as (select page_id, n, k, case when starts_with(parts[k], '<b>') then {STRINGS.format("array_to_string(parts[k:], '<p>')")} else {STRINGS.format("string_split(parts[k], '</p>')[1]")} end as x from para),
+ rows as (select page_id, 0 as ordinal, 'document' as kind, '' as x from pages
+  union all select page_id, 2 * i - 1, 'paragraph', {STRINGS.format('x')} from nav union all select page_id, 2 * i, 'link', {STRINGS.format('x')} from nav
+  union all select page_id, 2 * len(li) + 1, 'heading', {STRINGS.format("regexp_extract(parts[1], '(?s)<h1>(.*?)</h1>', 1)")} from p
+  union all select page_id, 2 * n + k, 'paragraph', x from said)
+ select cast(page_id as varchar) as document_id, cast(ordinal as int) as ordinal, case kind when 'document' then 'document' when 'paragraph' then 'text-' || ordinal else kind || '-' || ordinal end as element_id,
+  kind as element_type, sha256(x) as text_sha256 from rows"""
+
+
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and first headings of each page, through the whole tree walk."""
     elements, edges = registry.read_pages(_pages(spark, sf_dir))
@@ -139,12 +180,21 @@ def key_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.key_frames(samples, 10.0, 2.0).select("document_id", "element_id", F.round("timestamp_seconds", 6).alias("timestamp_seconds"))
 
 
+FRAMES = """with recursive s as (select cast(user_id as varchar) as d, floor(epoch(ts)) / 3600 as t, value as v from events),
+ k as (select d, min(t) as t, 1 as n from s group by 1
+  union all select k.d, min(s.t), any_value(k.n) + 1 from k join s on s.d = k.d and s.v >= 10 and s.t - k.t >= 2 group by k.d)
+ select d as document_id, 'frame-' || n as element_id, round(t, 6) as timestamp_seconds from k"""
+
+
 def extension_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.element_at(F.array(*map(F.lit, ("a.PDF", "b.md", "c.HTM", "d.xlsx", "e.gif", "f", "g.tar.csv", "h.JPEG"))), (F.col("page_id") % 8 + 1).cast("int"))
     return views.table(spark, sf_dir, "pages").select("page_id", F.coalesce(registry.source_type(names), F.lit("unsupported")).alias("source_type"))
 
 
-ROUTES = "select page_id, ['pdf', 'markdown', 'html', 'excel', 'unsupported', 'unsupported', 'csv', 'image'][cast(page_id % 8 + 1 as int)] as source_type from pages"
+ROUTES = """with n as (select page_id, ['a.PDF', 'b.md', 'c.HTM', 'd.xlsx', 'e.gif', 'f', 'g.tar.csv', 'h.JPEG'][cast(page_id % 8 + 1 as int)] as name from pages),
+ s as (select page_id, lower(regexp_extract(name, '(\\.[^.]+)$', 1)) as x from n)
+ select page_id, case when x = '.pdf' then 'pdf' when x in ('.md', '.markdown') then 'markdown' when x in ('.html', '.htm') then 'html' when x in ('.xlsx', '.xlsm') then 'excel'
+  when x = '.csv' then 'csv' when x in ('.jpg', '.jpeg', '.png', '.webp', '.bmp', '.tiff', '.tif') then 'image' else 'unsupported' end as source_type from s"""
 
 
 def url_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,26 +221,37 @@ def caption_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "part").select("p_partkey", T.figure_number(text).alias("figure"), T.table_number(text).alias("table_no"))
 
 
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as rows of the message log, one second apart."""
+    rows = views.table(spark, sf_dir, "conversations")
+    return rows.select(
+        F.col("conv_id").cast("string").alias("chat_id"), F.lower("role").alias("role"), F.timestamp_seconds(F.col("turn")).alias("at"),
+        F.concat_ws("/", F.lpad(F.col("turn").cast("string"), 9, "0"), "role").alias("message_id"), "turn",
+    )
+
+
 def chat_messages_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of each conversation in order, with user and assistant roles only, numbered."""
-    rows = views.table(spark, sf_dir, "conversations").filter(F.lower("role").isin("user", "assistant"))
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role"))
-    return rows.select("conv_id", "turn", "role", place.alias("place"))
+    found = store.ordered(_messages(spark, sf_dir).filter(F.col("role").isin(*ROLES)), "chat_id", "at", "message_id")
+    return found.select(F.col("chat_id").cast("long").alias("conv_id"), "turn", "role", "place")
 
 
 def chat_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chats by their last message, newest first: state is the latest event."""
-    rows = views.table(spark, sf_dir, "conversations")
-    return rows.groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role"), F.count("*").alias("messages"))
+    """Each chat's last message: state is the latest event."""
+    rows = _messages(spark, sf_dir).withColumn("event_no", F.col("message_id"))
+    last = store.latest(rows, "chat_id").select("chat_id", F.col("turn").alias("last_turn"), F.col("role").alias("last_role"))
+    return last.join(rows.groupBy("chat_id").agg(F.count("*").alias("messages")), "chat_id").select(F.col("chat_id").cast("long").alias("conv_id"), "last_turn", "last_role", "messages")
 
 
 def chat_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents attached to each conversation (conv_id divides doc_id), in the order of their ids."""
+    """Documents attached to each conversation (conv_id divides doc_id), in the order they were attached."""
     chats = views.table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", "source")
-    linked = docs.join(chats, docs["doc_id"] % 100 == chats["conv_id"])
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("doc_id"))
-    return linked.select("conv_id", "doc_id", "source", place.alias("place"))
+    docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "doc_id", "source")
+    links = docs.join(chats, docs["doc_id"] % 100 == chats["conv_id"]).select(
+        F.col("conv_id").cast("string").alias("chat_id"), "document_id", F.timestamp_seconds(F.col("doc_id")).alias("at")
+    )
+    found = store.attached(docs, links)
+    return found.select(F.col("chat_id").cast("long").alias("conv_id"), "doc_id", "source", "place")
 
 
 def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,8 +279,7 @@ def metadata_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id", F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("string").alias("hour"),
         F.explode(F.create_map(F.lit("type"), "event_type", F.lit("k"), M.get(F.col("props"), "k"))).alias("key", "value"),
     )
-    agreed = rows.filter("value is not null").groupBy("user_id", "hour", "key").agg(F.min("value").alias("value"), F.max("value").alias("top"))
-    return agreed.filter("value = top").drop("top")
+    return chunking.agreed(rows, "user_id", "hour")
 
 
 PROMOTION = """with r as (select user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, 'type' as key, event_type as value from events
@@ -282,21 +342,23 @@ QUERIES = {
     "normalized_texts": (normalized_texts, NORMAL),
     "preprocess_chain": (preprocess_chain, PREPROCESSED),
     "chunked_documents": (chunked_documents, None),
+    "chunk_properties": (chunk_properties, CHUNKED),
+    "split_coverage": (split_coverage, r"select doc_id, sha256(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) as text_sha256, true as fits from documents"),
     "split_pieces": (split_pieces, None),
-    "html_elements": (html_elements, None),
+    "html_elements": (html_elements, HTML_ELEMENTS),
     "html_links": (html_links, HTML),
     "markdown_elements": (markdown_elements, MARKDOWN),
     "csv_tables": (csv_tables, "select cast(c_nationkey as varchar) as document_id, cast(count(*) + 1 as int) as row_count, cast(max(case when c_custkey % 2 = 0 then 3 else 2 end) as int) as column_count, cast(count(*) + 1 as int) as lines from customer group by 1"),
     "caption_cues": (caption_cues, CUES),
     "caption_seconds": (caption_seconds, "select event_id, case event_id % 3 when 0 then (event_id % 60) * 60 + event_id % 59 + 0.25 when 1 then (event_id % 5) * 3600 + (event_id % 60) * 60 + event_id % 59 + 0.5 end as seconds from events"),
-    "key_frames": (key_frames, None),
+    "key_frames": (key_frames, FRAMES),
     "extension_routing": (extension_routing, ROUTES),
     "url_checks": (url_checks, "select page_id, page_id % 4 <> 3 or regexp_matches(url, '^https?://') as http, case when page_id % 4 < 2 then 'id' || page_id end as video from pages"),
     "safe_names": (safe_names, r"select page_id, regexp_replace(regexp_replace(regexp_replace('../..' || url || '..', '^.*[/\\]', ''), '[^A-Za-z0-9._-]', '_', 'g'), '^\.+|\.+$', '', 'g') as name from pages"),
     "sidecar_lookup": (sidecar_lookup, "select 'v/' || p_partkey || '.mp4' as path, case when p_partkey % 3 = 0 then 'v/' || p_partkey || '.srt' when p_partkey % 2 = 0 then 'v/' || p_partkey || '.vtt' end as caption_path from part"),
     "caption_numbers": (caption_numbers, "select p_partkey, case when p_partkey % 3 < 2 then p_size || '.2' end as figure, case when p_partkey % 3 = 2 then p_size || '.2' else '7' end as table_no from part"),
-    "chat_messages_ordered": (chat_messages_ordered, "select conv_id, turn, role, row_number() over (partition by conv_id order by turn, role) as place from conversations where lower(role) in ('user', 'assistant')"),
-    "chat_latest": (chat_latest, "select conv_id, max(turn) as last_turn, arg_max(role, turn) as last_role, count(*) as messages from conversations group by 1"),
+    "chat_messages_ordered": (chat_messages_ordered, "select conv_id, turn, lower(role) as role, row_number() over (partition by conv_id order by turn, role) as place from conversations where lower(role) in ('user', 'assistant')"),
+    "chat_latest": (chat_latest, "select conv_id, max(turn) as last_turn, lower(arg_max(role, turn)) as last_role, count(*) as messages from conversations group by 1"),
     "chat_documents": (chat_documents, "select conv_id, doc_id, source, row_number() over (partition by conv_id order by doc_id) as place from (select distinct conv_id from conversations) join documents on doc_id % 100 = conv_id"),
     "run_states": (run_states, "select user_id, event_id as event_no, event_type as status from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1"),
     "metadata_merge": (metadata_merge, MERGE),

@@ -28,5 +28,5 @@ BBOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 #: What a loader returns for one document, before it is exploded into two tables.
 LOADED = (
     "elements array<struct<element_id:string,element_type:string,content_kind:string,text:string,asset_path:string,metadata:string>>, "
-    "edges array<struct<source:string,type:string,target:string,metadata:string>>"
+    "edges array<struct<source:string,type:string,target:string,metadata:string>>, error string"
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..errors import UnsupportedSource
 from ..functions.paths import extension
+from ..scratch import materialise
 from . import captions, html, media, office, plain
-from .loaded import parse, tables
+from .loaded import failures, parse, tables
 
 # Extensions of each source type.
 EXTENSIONS = {
@@ -24,7 +26,7 @@ EXTENSIONS = {
     "txt": (".txt",),
     "captions": (".srt", ".vtt"),
     "image": (".jpg", ".jpeg", ".png", ".webp", ".bmp", ".tiff", ".tif"),
-    "audio": (".mp3", ".wav", ".m4a", ".flac", ".ogg"),
+    "audio": (".mp3", ".wav", ".m4a", ".aac", ".flac", ".ogg"),
     "video": (".mp4", ".mov", ".mkv", ".avi", ".webm"),
 }
 
@@ -55,24 +57,51 @@ def require_supported(files: DataFrame) -> DataFrame:
     return files
 
 
-def load(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(elements, relationships) of ``files(document_id, path, content)``: each type through its parser."""
+@dataclass(frozen=True)
+class Loaded:
+    """What a set of files gives: two tables, and why some files gave nothing."""
+
+    elements: DataFrame
+    relationships: DataFrame
+    failures: DataFrame
+
+
+def load_all(files: DataFrame, plugins: media.Plugins | None = None, parsers: dict | None = None) -> Loaded:
+    """``files(document_id, path, content)``, each type through its parser or plug-in; ``parsers`` adds to those known.
+
+    A file that cannot be read, or whose type needs a plug-in that is not there, is a row
+    (document_id, error) of ``failures`` and harms no other file.
+    """
+    plugins = plugins or media.Plugins()
     typed = files.withColumn("source_type", source_type(F.col("path")))
     parsed = []
-    for kind, (parser, columns) in PARSERS.items():
+    for kind, (parser, columns) in {**PARSERS, **(parsers or {})}.items():
         own = typed.filter(F.col("source_type") == kind)
         if "text" in columns:
             own = own.withColumn("text", F.decode("content", "UTF-8"))
         parsed.append(parse(own, parser, *columns))
-    elements, edges = tables(reduce(DataFrame.unionByName, parsed))
-    for kind in ("image", "audio", "video"):
-        own = media.assets(typed.filter(F.col("source_type") == kind), kind).withColumn("metadata", F.lit("{}"))
-        elements = elements.unionByName(own)
-        edges = edges.unionByName(own.filter("ordinal = 1").select(
-            "document_id", F.lit(0).alias("rel_ordinal"), F.lit("document").alias("source_element_id"),
-            F.lit("contains").alias("relationship_type"), F.col("element_id").alias("target_element_id"), F.lit("{}").alias("metadata"),
-        ))
-    return elements, edges
+    read = materialise(reduce(DataFrame.unionByName, parsed), "parsed")
+    elements, edges = tables(read)
+    refused = [failures(read), typed.filter("source_type is null").select("document_id", F.lit("unsupported source").alias("error"))]
+    own = lambda kind: typed.filter(F.col("source_type") == kind)
+    parts = [media.asset_elements(own("image"), "image"), media.audio(own("audio"), plugins), media.video(own("video"), files, plugins)]
+    if plugins.layout is not None:
+        parts.append(media.paged(own("pdf"), plugins.layout))
+    else:
+        refused.append(own("pdf").select("document_id", F.lit("PDF needs a layout plug-in").alias("error")))
+    for more, links in parts:
+        elements, edges = elements.unionByName(more), edges.unionByName(links)
+    if plugins.vision is not None:
+        elements, edges = media.enriched(elements, edges, plugins.vision)
+    found = reduce(DataFrame.unionByName, refused)
+    empty = files.select("document_id").join(elements.select("document_id").distinct(), "document_id", "left_anti").join(found, "document_id", "left_anti")
+    return Loaded(elements, edges, found.unionByName(empty.select("document_id", F.lit("nothing was read").alias("error"))))
+
+
+def load(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(elements, relationships) of files that need no plug-in."""
+    found = load_all(files)
+    return found.elements, found.relationships
 
 
 def read_folder(spark: SparkSession, path: str, limit: int = 50 << 20) -> DataFrame:

@@ -9,29 +9,35 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.chunking import chunk_documents
 from ..operators.preprocess import preprocess
 from ..operators.store import Store
-from ..sources.registry import load, source_type
+from ..scratch import materialise
+from ..sources.media import Plugins
+from ..sources.registry import load_all, source_type
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def ingest(store: Store, files: DataFrame, size: int = 1000, overlap: int = 100) -> dict[str, int]:
+def ingest(store: Store, files: DataFrame, size: int = 1000, overlap: int = 100, plugins: Plugins | None = None) -> dict[str, int]:
     """One batch of ``files(document_id, path, content)`` through the whole chain; replaces by document.
 
-    A failure marks the run failed and is raised again; nothing of the batch is visible then,
-    as each table is swapped after it is written.
+    Elements, edges, chunks and documents become visible by one commit.  A file that cannot be
+    read is stored as a failed document with its error and no elements; the others go on.  Any
+    other failure marks the run failed and is raised again; nothing of the batch is visible then.
     """
     run = store.start_run()
     try:
-        elements, edges = load(files)
-        elements, edges = preprocess(elements, edges)
-        chunks = chunk_documents(elements, edges, size, overlap)
-        documents = files.select(
-            "document_id", F.coalesce(source_type(F.col("path")), F.lit("unknown")).alias("source_type"), "path",
-            F.create_map(F.lit("processing_status"), F.lit("completed")).alias("metadata"),
-        )
-        store.persist(documents, elements, edges, allow_existing=True)
-        store.replace_documents("chunks", chunks, documents)
-        counts = {"elements": elements.count(), "relationships": edges.count(), "chunks": chunks.count()}
+        loaded = load_all(files, plugins)
+        failed = materialise(loaded.failures.groupBy("document_id").agg(F.min("error").alias("error")), "failures")
+        elements, edges = preprocess(loaded.elements, loaded.relationships)
+        edges = materialise(edges, "edges")
+        chunks = materialise(chunk_documents(elements, edges, size, overlap), "chunks")
+        state = F.when(F.col("error").isNull(), F.create_map(F.lit("processing_status"), F.lit("completed"))).otherwise(
+            F.create_map(F.lit("processing_status"), F.lit("failed"), F.lit("error"), F.col("error"))
+        )
+        documents = files.join(failed, "document_id", "left").select(
+            "document_id", F.coalesce(source_type(F.col("path")), F.lit("unknown")).alias("source_type"), "path", state.alias("metadata")
+        )
+        store.persist(documents, elements, edges, allow_existing=True, chunks=chunks)
+        counts = {"elements": elements.count(), "relationships": edges.count(), "chunks": chunks.count(), "failed": failed.count()}
     except Exception as e:
         store.fail_run(run, str(e)[:500])
         raise

@@ -27,7 +27,7 @@ def document(spark, text="x", key="a"):
 def test_persist_and_replace(spark, store):
     store.persist(*document(spark))
     assert store.read("relationships").count() == 1
-    with pytest.raises(DuplicateDocument, match="Document already exists"):
+    with pytest.raises(DuplicateDocument, match="stored already"):
         store.persist(*document(spark))
     store.persist(*document(spark, "new", "b"), allow_existing=True)
     assert {r["text"] for r in store.read("elements").collect()} == {"new", "y"}
