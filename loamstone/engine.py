@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from .errors import InvalidArgument, NotFound
 from .functions.paths import safe_name
-from .operators import embedding, generation, graph, retrieval
+from .operators import embedding, evaluation, generation, graph, retrieval
 from .operators.postings import PostingIndex
 from .operators.store import Store, latest
 from .scratch import materialise
+from .schema import ELEMENTS, RELATIONSHIPS
 from .session import Settings
 from .sources.media import Plugins
 from .sources.registry import require_supported, source_type
@@ -100,9 +101,36 @@ class Engine:
         """Postings for chunks that have none, checked to be complete; returns how many were added."""
         return self.postings.backfill(self.store.read("chunks"))
 
+    def add_golden(self, corpus: DataFrame) -> int:
+        """A golden corpus as stored and indexed chunks; returns how many."""
+        chunks = materialise(evaluation.golden_chunks(corpus), "golden")
+        self.store.replace_documents("chunks", chunks)
+        for name, schema in (("elements", ELEMENTS), ("relationships", RELATIONSHIPS)):
+            if not self.store.exists(name):
+                self.store.write(name, self.spark.createDataFrame([], schema))
+        return self.index(chunks.select("document_id"))
+
+    def evaluate(self, golden_queries: DataFrame, k: int = 5) -> DataFrame:
+        """Mean metrics of dense, sparse and hybrid retrieval over golden queries."""
+        chunks = self.store.read("chunks").join(self.store.read("vectors").select("chunk_id", "embedding"), "chunk_id")
+        asked = materialise(embedding.embed_queries(golden_queries.select("query_id", "text"), self.provider), "asked")
+        wide = max(k, self.settings.candidate_k)
+        return evaluation.compare(
+            {
+                "dense": lambda q: retrieval.dense(q, chunks, k), "sparse": lambda q: retrieval.sparse(q, chunks, k, index=self.postings),
+                "hybrid": lambda q: retrieval.hybrid(q, chunks, k, wide, self.settings.rrf_k, index=self.postings),
+            },
+            asked, evaluation.golden_qrels(golden_queries), k,
+        )
+
+    def health(self) -> dict:
+        """Whether Spark and the store answer, and how much is indexed."""
+        chunks = self.store.read("chunks").count() if self.store.exists("chunks") else 0
+        return {"status": "ok" if self.spark.range(1).count() == 1 else "failed", "chunks": chunks, "indexed": self.postings.figures()[0] if self.postings.exists() else 0}
+
     def document(self, document_id: str) -> dict:
         """One document with its state and display name."""
-        found = self.store.read("files").filter(F.col("document_id") == document_id).select("document_id", "name", source_type(F.col("path")).alias("source_type")).first()
+        found = self.store.read("files", [document_id]).filter(F.col("document_id") == document_id).select("document_id", "name", source_type(F.col("path")).alias("source_type")).first()
         if found is None:
             raise NotFound(document_id)
         state = latest(self.store.read("document_states"), "document_id").filter(F.col("document_id") == document_id).first()

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from loamstone.engine import Engine
 from loamstone.errors import InvalidArgument, NotFound, UnsupportedSource
-from loamstone.operators import embedding, generation
+from loamstone.operators import embedding, evaluation, generation
 from loamstone.operators.store import Store
 
 
@@ -43,6 +43,29 @@ def test_whole_life(spark, engine):
         engine.document("unknown")
 
 
+def test_failed_files_and_golden_corpus(spark, tmp_path):
+    import json
+
+    engine = Engine(spark, Store(spark, f"file://{tmp_path}/store"))
+    ids = engine.upload(files(spark, ("a.txt", "Bees make honey."), ("b.docx", "broken")))
+    engine.process()
+    states = [engine.document(i) for i in ids]
+    assert sorted(s["status"] for s in states) == ["completed", "failed"]
+    assert "BadZipFile" in next(s["error"] for s in states if s["status"] == "failed")
+    golden = {"queries": [{"query": "who makes honey", "relevant_chunk_ids": ["g1"]}, {"query": "fast turbine", "relevant_chunk_ids": ["g2"]}],
+              "corpus": [{"chunk_id": "g1", "content": "Honey is what bees make."}, {"chunk_id": "g2", "content": "A turbine spins fast."}]}
+    (tmp_path / "golden.json").write_text(json.dumps(golden))
+    queries, corpus = evaluation.golden(spark, f"file://{tmp_path}/golden.json")
+    assert engine.add_golden(corpus) == 2
+    rows = {r["retriever"]: r for r in engine.evaluate(queries, 3).collect()}
+    assert rows["sparse"]["recall"] == 1.0
+    assert {r["cases"] for r in rows.values()} == {2}
+    assert engine.health() == {"status": "ok", "chunks": 3, "indexed": 3}
+    assert engine.backfill() == 0
+    engine.delete(next(i for i, s in zip(ids, states, strict=True) if s["status"] == "completed"))
+    assert engine.health() == {"status": "ok", "chunks": 2, "indexed": 2}
+
+
 def test_embedding(spark):
     provider = embedding.HashingEmbedder(8)
     rows = spark.createDataFrame([("a", "x y"), ("b", "x y"), ("c", "!")], "chunk_id string, content string")

@@ -173,3 +173,83 @@ def test_assets_and_point_ids(spark):
     files = spark.createDataFrame([("c", docx())], "document_id string, content binary")
     assert [(r["asset_path"], bytes(r["bytes"])) for r in media.asset_table(files).collect()] == [("word/media/i.png", b"x")]
     assert files.select(point_id("k", F.lit("c1")).alias("p")).first()["p"] == str(uuid.uuid5(uuid.NAMESPACE_URL, "k:c1"))
+
+
+def files_of(spark, *rows):
+    return spark.createDataFrame([(f"d{n}", path, body) for n, (path, body) in enumerate(rows)], "document_id string, path string, content binary")
+
+
+def test_one_bad_file_fails_alone(spark):
+    found = registry.load_all(files_of(spark, ("a.docx", b"broken"), ("b.txt", b"fine"), ("c.pdf", b"%PDF"), ("d.srt", b"1\n00:xx --> 00:02\nno\n"), ("e.gif", b""), ("f.png", b"x")))
+    errors = {r["document_id"]: r["error"] for r in found.failures.collect()}
+    assert set(errors) == {"d0", "d2", "d3", "d4"}
+    assert "BadZipFile" in errors["d0"]
+    assert "plug-in" in errors["d2"]
+    assert {r["document_id"] for r in found.elements.collect()} == {"d1", "d5"}
+
+
+LAYOUT = [
+    (1, "text", "Intro text", None, (0.0, 0.0, 100.0, 20.0)), (1, "image", None, "i.png", (0.0, 30.0, 100.0, 100.0)),
+    (1, "text", "Figure 1: a wheel", None, (0.0, 105.0, 100.0, 120.0)), (1, "text", "as in Figure 1 above", None, (0.0, 130.0, 100.0, 150.0)),
+    (2, "table", "a | b", None, (0.0, 0.0, 200.0, 100.0)), (2, "text", "a inside", None, (10.0, 10.0, 50.0, 20.0)), (2, "text", "below", None, (300.0, 600.0, 400.0, 620.0)),
+    (2, "link", None, "http://x", (300.0, 600.0, 350.0, 620.0)),
+]
+
+
+def test_pdf_through_a_layout_plugin(spark):
+    block = lambda b: F.struct(
+        F.lit(b[0]).alias("page_number"), F.lit(b[1]).alias("kind"), F.lit(b[2]).cast("string").alias("text"), F.lit(b[3]).cast("string").alias("asset_path"),
+        F.struct(*[F.lit(v).alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), b[4], strict=True)]).alias("bbox"),
+    )
+    found = registry.load_all(files_of(spark, ("a.pdf", b"%PDF")), media.Plugins(layout=lambda path: F.when(path.isNotNull(), F.array(*map(block, LAYOUT)))))
+    assert found.failures.count() == 0
+    elements = {r["element_id"]: r for r in found.elements.collect()}
+    assert [e["element_type"] for e in sorted(elements.values(), key=lambda e: e["ordinal"])] == ["document", "page", "page", "paragraph", "image", "paragraph", "paragraph", "table", "paragraph", "link"]
+    assert not [e for e in elements.values() if e["text"] == "a inside"]
+    assert next(e for e in elements.values() if e["element_type"] == "link")["text"] == "below"
+    edges = {(r["source_element_id"], r["relationship_type"], r["target_element_id"]) for r in found.relationships.collect()}
+    assert ("document", "contains", "page-1") in edges
+    assert ("page-1", "contains", "page-1-image-1") in edges
+    assert ("page-1-text-2", "caption_of", "page-1-image-1") in edges
+    assert ("page-1-text-3", "refers_to", "page-1-image-1") in edges
+    assert ("page-1-text-0", "spatially_adjacent", "page-1-image-1") in edges
+
+
+def test_video_takes_captions_first(spark):
+    vtt = b"WEBVTT\n\n00:00.000 --> 00:02.000\nbeside\n"
+    said = lambda text: F.array(F.struct(F.lit(0.0).alias("start_seconds"), F.lit(5.0).alias("end_seconds"), F.lit(text).alias("text")))
+    frame = lambda t, d: F.struct(F.lit(t).alias("timestamp_seconds"), F.concat(F.lit("f"), F.lit(str(t))).alias("asset_path"), F.lit(d).alias("difference"))
+    plugins = media.Plugins(
+        recognise=lambda path: F.when(path.endswith(".wav"), said("heard")).otherwise(said("heard in sound file")),
+        embedded_captions=lambda path: F.when(path.endswith("b.mp4"), F.lit("1\n00:00:01,000 --> 00:00:03,000\ninside\n")),
+        audio_track=lambda path: F.concat(path, F.lit(".wav")),
+        frames=lambda path: F.when(path.isNotNull(), F.array(frame(0.0, 0.0), frame(1.0, 90.0), frame(4.0, 90.0), frame(60.0, 10.0), frame(90.0, 30.0))),
+    )
+    files = files_of(spark, ("v/a.mp4", b""), ("v/a.vtt", vtt), ("v/b.mp4", b""), ("v/c.mp4", b""), ("v/d.mp3", b""))
+    found = registry.load_all(files, plugins)
+    spoken = {r["document_id"]: r["text"] for r in found.elements.filter("element_type = 'transcript'").collect()}
+    assert spoken == {"d0": "beside", "d1": "beside", "d2": "inside", "d3": "heard", "d4": "heard in sound file"}
+    frames = sorted(r["asset_path"] for r in found.elements.filter("element_type = 'video_frame' and document_id = 'd3'").collect())
+    assert frames == ["f0.0", "f4.0", "f90.0"]
+    edges = {(r["source_element_id"], r["relationship_type"], r["target_element_id"]) for r in found.relationships.filter("document_id = 'd3'").collect()}
+    assert {("video-1", "contains", "transcript-1"), ("transcript-1", "temporally_adjacent", "frame-1"), ("frame-2", "temporally_adjacent", "transcript-1")} <= edges
+    assert ("transcript-1", "temporally_adjacent", "frame-3") not in edges
+
+
+def test_images_are_described(spark):
+    found = registry.load_all(files_of(spark, ("a.png", b"x")), media.Plugins(vision=lambda path: F.concat(F.lit("shows "), path)))
+    made = found.elements.filter("element_type = 'image_semantic'").first()
+    assert (made["element_id"], made["text"]) == ("image-1:semantic", "shows a.png")
+    assert found.relationships.filter("relationship_type = 'derived_from'").first()["target_element_id"] == "image-1"
+
+
+def test_assets_are_written(spark, tmp_path):
+    files = files_of(spark, ("a.docx", docx()))
+    stored = media.write_assets(media.asset_table(files), f"file://{tmp_path}/assets")
+    assert [(r["asset_path"], r["size"]) for r in stored.collect()] == [("word/media/i.png", 1)]
+
+
+def test_frame_differences(spark):
+    frames = spark.createDataFrame([("v", 1.0, [2.0, 4.0]), ("v", 0.0, [0.0, 0.0]), ("w", 0.0, [1.0, 1.0])], "document_id string, timestamp_seconds double, levels array<double>")
+    got = {(r[0], r[1]): r[2] for r in captions.frame_differences(frames).collect()}
+    assert got == {("v", 0.0): None, ("v", 1.0): 3.0, ("w", 0.0): None}

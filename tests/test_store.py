@@ -109,3 +109,32 @@ def test_stream_equals_batch(spark, store, tmp_path):
     (inbox / "d.txt").write_text("more")
     ingest.stream_folder(spark, f"file://{inbox}", store, f"file://{tmp_path}/cp").awaitTermination()
     assert store.read("documents").count() == 3
+
+
+def test_only_touched_buckets_are_written(spark, store):
+    rows = spark.range(200).select(F.col("id").cast("string").alias("document_id"), F.lit("a").alias("text"))
+    store.replace_documents("documents", rows)
+    before = store._state()["documents"]["folders"]
+    store.replace_documents("documents", rows.filter("document_id = '7'").withColumn("text", F.lit("b")))
+    after = store._state()["documents"]["folders"]
+    assert sum(before[k] != after[k] for k in before) == 1
+    assert {r["document_id"] for r in store.read("documents").filter("text = 'b'").collect()} == {"7"}
+    assert store.read("documents").count() == 200
+    assert store.read("documents", ["7"]).count() < 200
+
+
+def test_a_failed_write_shows_nothing(spark, store):
+    store.persist(*document(spark))
+    bad = spark.range(1).select(F.lit("d").alias("document_id"), F.assert_true(F.col("id") > 5, F.lit("no")).isNull().alias("x"))
+    with pytest.raises(Exception, match="no"):
+        store.replace_tables({"elements": document(spark, "new")[1], "chunks": bad}, document(spark)[0])
+    assert {r["text"] for r in store.read("elements").collect()} == {"x", "y"}
+    assert not store.exists("chunks")
+
+
+def test_unreadable_files_are_failed_documents(spark, store):
+    files = spark.createDataFrame([("a", "a.txt", b"fine"), ("b", "b.docx", b"broken"), ("c", "c.pdf", b"%PDF")], "document_id string, path string, content binary")
+    counts = ingest.ingest(store, files)
+    assert (counts["failed"], counts["chunks"]) == (2, 1)
+    states = {r["document_id"]: r["metadata"]["processing_status"] for r in store.read("documents").collect()}
+    assert states == {"a": "completed", "b": "failed", "c": "failed"}
