@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content, graphs, search
+from . import content, graphs, ingestion, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    return {**search.QUERIES, **graphs.QUERIES, **content.QUERIES}
+    return {**search.QUERIES, **graphs.QUERIES, **content.QUERIES, **ingestion.QUERIES}
 
 
 def queries() -> dict[str, Query]:
