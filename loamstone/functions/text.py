@@ -57,14 +57,19 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NON_TERM), lambda t: t != "")
 
 
+# How a figure's and a table's number are announced.
+FIGURE = r"(?i)\b(?:figure|fig\.)\s+(\d+(?:\.\d+)*)"
+TABLE = r"(?i)\btable\s+(\d+(?:\.\d+)*)"
+
+
 def figure_number(text: Column) -> Column:
     """The number after the first "Figure" or "Fig.", else null."""
-    return F.nullif(F.regexp_extract(text, r"(?i)\b(?:figure|fig\.)\s+(\d+(?:\.\d+)*)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, FIGURE, 1), F.lit(""))
 
 
 def table_number(text: Column) -> Column:
     """The number after the first "Table", else null."""
-    return F.nullif(F.regexp_extract(text, r"(?i)\btable\s+(\d+(?:\.\d+)*)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, TABLE, 1), F.lit(""))
 
 
 def clean_query(text: Column) -> Column:

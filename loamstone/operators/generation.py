@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# Fixed value: what is answered without any result.
 NO_ANSWER = "I could not find relevant information in the available documents."
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..schema import STRONG_EDGES
 from ..scratch import materialise
 
+# Fixed value: what stands before each text that relations add.
+RELATED = "\n\n[Related context]\n"
+
 #: Edges from which on hot nodes are dealt over several tasks, and over how many.
 MANY, PARTS = 5_000_000, 16
 
@@ -99,5 +102,5 @@ def merged_context(results: DataFrame, reached: DataFrame, elements: DataFrame)
     gathered = full.groupBy("result_id").agg(F.sort_array(F.collect_list(item)).alias("relationship_context"))
     joined = results.join(gathered, "result_id", "left")
     context = F.coalesce("relationship_context", F.array().cast(gathered.schema["relationship_context"].dataType))
-    texts = F.transform(F.filter(context, lambda c: F.trim(F.coalesce(c["text"], F.lit(""))) != ""), lambda c: F.concat(F.lit("\n\n[Related context]\n"), c["text"]))
+    texts = F.transform(F.filter(context, lambda c: F.trim(F.coalesce(c["text"], F.lit(""))) != ""), lambda c: F.concat(F.lit(RELATED), c["text"]))
     return joined.withColumn("relationship_context", context).withColumn("content", F.concat("content", F.array_join(texts, "")))

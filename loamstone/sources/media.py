@@ -210,13 +210,17 @@ def write_assets(assets_found: DataFrame, folder: str) -> DataFrame:
     stored = assets_found.sparkSession.read.parquet(folder)
     return stored.select("document_id", "asset_path", F.octet_length("bytes").alias("size"))
 
+# Labels of the parts of a description.
+READABLE, VISIBLE, CONTEXT = "Readable text: ", "Visual elements: ", "Context: "
+
+
 def description(visual: Column) -> Column:
     """The text of a structured description (description, ocr_text, visual_elements, document_context)."""
     filled = lambda c: F.nullif(F.trim(c), F.lit(""))
     items = F.nullif(F.array_join(visual["visual_elements"], ", "), F.lit(""))
     return F.concat_ws(
-        "\n", filled(visual["description"]), F.concat(F.lit("Readable text: "), filled(visual["ocr_text"])),
-        F.concat(F.lit("Visual elements: "), items), F.concat(F.lit("Context: "), filled(visual["document_context"])),
+        "\n", filled(visual["description"]), F.concat(F.lit(READABLE), filled(visual["ocr_text"])),
+        F.concat(F.lit(VISIBLE), items), F.concat(F.lit(CONTEXT), filled(visual["document_context"])),
     )
 
 
