@@ -35,16 +35,18 @@ def temporal_edges(segments: DataFrame, frames: DataFrame, tolerance: float = TO
 def spatial_edges(boxes: DataFrame, vertical: float = SPATIAL_GAP, horizontal: float = SPATIAL_GAP) -> DataFrame:
     """Both directions between boxes of one document that are near each other on one page and slide.
 
-    Boxes are dealt to grid cells a little larger than the gaps, so that a box meets its
-    neighbours only; an unknown page or slide goes with any.  Page and slide are part of the
+    Boxes are dealt to grid cells larger than the gaps and than most boxes, whatever their unit,
+    so that a box meets its neighbours only; an unknown page or slide goes with any.  Page and slide are part of the
     join's key wherever both boxes know them: each box is dealt once for each kind of partner
     (page known or not, slide known or not) that there is, which is one kind as a rule.  A pair
     is taken from the first cell that both share, so none comes twice.
     """
-    size = 4 * max(vertical, horizontal)
     b = F.col("bbox")
     own = F.col("page_number").isNotNull().cast("int") * 2 + F.col("slide_number").isNotNull().cast("int")
-    kinds = sorted(r["kind"] for r in boxes.select(own.alias("kind")).distinct().collect())  # four at most
+    extent = F.percentile_approx(F.greatest(b["x1"] - b["x0"], b["y1"] - b["y0"]), 0.95)
+    seen = boxes.agg(F.collect_set(own).alias("kinds"), extent.alias("extent")).first()
+    kinds = sorted(seen["kinds"])  # four at most
+    size = float(max(4 * vertical, 4 * horizontal, seen["extent"] or 0.0))
 
     def dealt(more_x: float, more_y: float, mine: str, theirs: str) -> DataFrame:
         low = lambda v, more: F.floor((v - more) / size)

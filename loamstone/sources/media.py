@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..operators.relationships import captions, drop_inside_tables, link_texts, references, spatial_edges, temporal_edges
 from ..scratch import materialise
 from .captions import key_frames, parse_captions, sidecars
@@ -65,6 +66,16 @@ def cues(text: Column) -> Column:
     return F.pandas_udf(_cues, SEGMENTS)(text)
 
 
+def adjacent(elements: DataFrame) -> DataFrame:
+    """Edges in space between elements whose metadata has a box, in any of its encodings, by page and slide."""
+    number = lambda key: F.get_json_object("metadata", f"$.{key}").cast("int").alias(key)
+    boxed = elements.filter(F.col("metadata").contains('"bbox"')).select(
+        "document_id", "element_id", "ordinal", number("page_number"), number("slide_number"), G.from_json(F.get_json_object("metadata", "$.bbox")).alias("bbox")
+    )
+    found = spatial_edges(boxed.filter("bbox is not null"))
+    return found.select("document_id", F.lit(2 * DERIVED).alias("rel_ordinal"), "source_element_id", "relationship_type", "target_element_id", F.to_json(F.struct("distance")).alias("metadata"))
+
+
 def asset_elements(files: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """Root and asset element of every file, and the edge between them."""
     own = assets(files, kind).withColumn("metadata", F.lit("{}"))

@@ -82,6 +82,7 @@ def load_all(files: DataFrame, plugins: media.Plugins | None = None, parsers: di
         parsed.append(parse(own, parser, *columns))
     read = materialise(reduce(DataFrame.unionByName, parsed), "parsed")
     elements, edges = tables(read)
+    edges = edges.unionByName(media.adjacent(elements))
     refused = [failures(read), typed.filter("source_type is null").select("document_id", F.lit("unsupported source").alias("error"))]
     own = lambda kind: typed.filter(F.col("source_type") == kind)
     parts = [media.asset_elements(own("image"), "image"), media.audio(own("audio"), plugins), media.video(own("video"), files, plugins)]

@@ -30,7 +30,7 @@ def ingest(store: Store, files: DataFrame, size: int = 1000, overlap: int = 100,
         elements, edges = preprocess(loaded.elements, loaded.relationships)
         edges = materialise(edges, "edges")
         chunks = materialise(chunk_documents(elements, edges, size, overlap), "chunks")
-        state = F.when(F.col("error").isNull(), F.create_map(F.lit("processing_status"), F.lit("completed"))).otherwise(
+        state = F.when(F.col("error").isNull(), F.create_map(F.lit("processing_status"), F.lit("completed"), F.lit("error"), F.lit(None).cast("string"))).otherwise(
             F.create_map(F.lit("processing_status"), F.lit("failed"), F.lit("error"), F.col("error"))
         )
         documents = files.join(failed, "document_id", "left").select(

@@ -253,3 +253,14 @@ def test_frame_differences(spark):
     frames = spark.createDataFrame([("v", 1.0, [2.0, 4.0]), ("v", 0.0, [0.0, 0.0]), ("w", 0.0, [1.0, 1.0])], "document_id string, timestamp_seconds double, levels array<double>")
     got = {(r[0], r[1]): r[2] for r in captions.frame_differences(frames).collect()}
     assert got == {("v", 0.0): None, ("v", 1.0): 3.0, ("w", 0.0): None}
+
+
+def test_shapes_of_a_slide_are_adjacent(spark):
+    p = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+    shape = lambda x, said: f'<p:sp><p:spPr><a:xfrm><a:off x="{x}" y="0"/><a:ext cx="900000" cy="500000"/></a:xfrm></p:spPr><p:txBody><a:p><a:r><a:t>{said}</a:t></a:r></a:p></p:txBody></p:sp>'
+    slide = f"<p:sld {p}><p:cSld><p:spTree>{shape(0, 'one')}{shape(900050, 'two')}{shape(3000000, 'three')}</p:spTree></p:cSld></p:sld>"
+    files = files_of(spark, ("a.pptx", zipped({"ppt/slides/slide1.xml": slide, "ppt/slides/slide2.xml": slide})))
+    near = registry.load_all(files).relationships.filter("relationship_type = 'spatially_adjacent'").collect()
+    assert {(r["source_element_id"], r["target_element_id"]) for r in near} == {
+        (f"slide-{n}-shape-{a}", f"slide-{n}-shape-{b}") for n in (1, 2) for a, b in ((1, 2), (2, 1))
+    }
