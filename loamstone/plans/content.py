@@ -91,7 +91,8 @@ def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.select("document_id", "ordinal", "element_id", "element_type", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-PLAIN = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
+# a browser reads these names without their semicolon too
+PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace({}, '&#x27;', chr(39)), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', chr(34), 'g'), '&amp;?', '&', 'g')"
 STRINGS = "array_to_string(list_filter(list_transform(string_split_regex({}, '<[^>]*>'), lambda x: trim(" + PLAIN.format("x") + ", chr(32) || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), ' ')"
 HTML_ELEMENTS = rf"""with c as (select page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|template)\b.*?</(script|style|noscript|template)>', '', 'g'), '(?s)<!--.*?-->', '<!>', 'g') as h from pages),
  p as (select page_id, regexp_extract_all(h, '<li><a href="[^"]+">([^<]*)</a></li>', 1) as li, string_split(regexp_extract(h, '(?s)<article>(.*)</article>', 1), '<p>') as parts from c),
